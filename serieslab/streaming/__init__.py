@@ -1,0 +1 @@
+"""No stream operator is in scope: every input is a finite series."""
