@@ -117,59 +117,52 @@ def token_pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokeniz
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def plan_bins(counts: np.ndarray, capacity: int, rounds: int = 64, seed: int = 7) -> dict[str, np.ndarray]:
+def plan_bins(counts: np.ndarray, capacity: int) -> dict[str, np.ndarray]:
     """Where each rank of each length goes, by the sum-of-squares rule.
 
-    counts[s] is the number of pieces of length s < capacity. Lengths are dealt in `rounds` rounds, in a seeded order
-    in each, as the rule is made for items that come mixed. Returns arrays sorted by (length, rank): the ranks
-    rank..rank+n of a length go to bins bin..bin+n at `offset`.
+    counts[s] is the number of pieces of length s < capacity. Lengths are placed in falling order; a piece goes to the
+    open bins' gap for which the sum of squares becomes smallest, and opens a bin only if none can hold it. Returns
+    arrays sorted by (length, rank): the ranks rank..rank+n of a length go to bins bin..bin+n at `offset`.
     """
-    rng = np.random.default_rng(seed)
-    total = int(counts.sum())
-    quantum = max(1, total // STEPS)
+    quantum = max(1, int(counts.sum()) // STEPS)
     open_bins = np.zeros(capacity + 1, np.int64)  # by gap
     spans: list[list[list[int]]] = [[] for _ in range(capacity + 1)]  # of bins, by gap: [first, n]
-    lengths = np.flatnonzero(counts)
-    phase = rng.random(capacity + 1)
-    given = np.zeros(capacity + 1, np.int64)
     out: list[tuple[int, int, int, int, int]] = []
     n_bins = 0
-    for r in range(1, rounds + 1):
-        order = rng.permutation(lengths) if r < rounds else lengths[::-1]
-        for s in order:
-            due = counts[s] if r == rounds else min(counts[s], int(counts[s] * r / rounds + phase[s]))
-            left = int(due - given[s])
-            while left > 0:
-                # Half the change of the sum, for each gap from s to a new bin's
-                cost = np.where(open_bins[s:] > 0, open_bins[: capacity + 1 - s] - open_bins[s:] + 1.0, np.inf)
-                if open_bins[s]:
-                    cost[0] = 0.5 - open_bins[s]
-                cost[capacity - s] = open_bins[capacity - s] + 0.5
-                k = int(cost.argmin())
-                gap, new = s + k, k == capacity - s
-                best = cost[k]
+    for s in np.flatnonzero(counts)[::-1].tolist():
+        given, left = 0, int(counts[s])
+        while left > 0:
+            # Half the change of the sum, for each gap from s on
+            cost = np.where(open_bins[s:] > 0, open_bins[: capacity + 1 - s] - open_bins[s:] + 1.0, np.inf)
+            if open_bins[s]:
+                cost[0] = 0.5 - open_bins[s]
+            k = int(cost.argmin())
+            best, gap, new = cost[k], s + k, not np.isfinite(cost[k])
+            if new:  # as many bins as the rest needs, if these pieces fit one another too
+                gap, n = capacity, -(-left // (capacity // s))
+            else:
                 cost[k] = np.inf
-                second = cost.min() if len(cost) > 1 else np.inf
+                second = cost.min()
                 n = left if not np.isfinite(second) else max(quantum, int((second - best) // 2) + 1)
-                n = min(n, left) if new else min(n, left, int(open_bins[gap]))
-                left -= n
-                while n:
-                    if new:
-                        first, m, n_bins = n_bins, n, n_bins + n
-                    else:
-                        top = spans[gap][-1]
-                        m = min(n, top[1])
-                        top[1] -= m
-                        first = top[0] + top[1]
-                        if not top[1]:
-                            spans[gap].pop()
-                        open_bins[gap] -= m
-                    out.append((s, int(given[s]), first, capacity - gap, m))
-                    if gap > s:
-                        spans[gap - s].append([first, m])
-                        open_bins[gap - s] += m
-                    given[s] += m
-                    n -= m
+                n = min(n, left, int(open_bins[gap]))
+            left -= n
+            while n:
+                if new:
+                    first, m, n_bins = n_bins, n, n_bins + n
+                else:
+                    top = spans[gap][-1]
+                    m = min(n, top[1])
+                    top[1] -= m
+                    first = top[0] + top[1]
+                    if not top[1]:
+                        spans[gap].pop()
+                    open_bins[gap] -= m
+                out.append((s, given, first, capacity - gap, m))
+                if gap > s:
+                    spans[gap - s].append([first, m])
+                    open_bins[gap - s] += m
+                given += m
+                n -= m
     table = np.array(sorted(out), np.int64).reshape(-1, 5)
     return dict(zip(("length", "rank", "bin", "offset", "n"), table.T, strict=True)) | {"n_bins": np.array(n_bins)}
 
@@ -187,7 +180,6 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer: str
         base[length, salt] = counts[length]
         counts[length] += n
     plan = plan_bins(counts, capacity)
-    plan["from"] = np.searchsorted(plan["length"], np.arange(capacity + 2))
     shared = spark.sparkContext.broadcast((plan, base))
 
     def place(batches):
