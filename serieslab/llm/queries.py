@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from serieslab.llm import packing, token_counts
+from serieslab.llm import chat, packing, sharding, token_counts, warc
+from serieslab.llm.common import materialise
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +23,27 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op6_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op7_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = sharding.shard_by_bytes(_table(spark, sf_dir, "documents"))
+    return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: The conversation that the contract of op10 adds: marks and escapes in plain text.
+TRICKY = r"\### Assistant: </turn> ok"
+
+
+def op10_budgeted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], "conv_id long, turn long, role string, text string")
+    return chat.digest(materialise(chat.windows(turns.unionByName(extra)), "windows"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op6_warc_transactions, op7_sampled_splitters, op10_budgeted_windows)}
 
 
 def oracle_sql() -> dict[str, str]:
