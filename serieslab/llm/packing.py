@@ -14,6 +14,7 @@ empty table gives an empty result; columns other than doc_id and text are not re
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from functools import lru_cache
 from itertools import islice
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from serieslab.llm.common import materialise
 
 #: Space-led chunks whose ids a worker remembers; beyond it starts anew.
-MEMO = 200_000
+MEMO = 600_000
 #: Steps of the rule that the driver makes at most, about: pieces are placed in quanta beyond it.
 STEPS = 200_000
 
@@ -45,40 +46,61 @@ class ChunkEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.model = self.tok.model
         self.memo: dict[str, bytes | None] = {}
+        self.tails = {"": b""}
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the bytes that byte-level BPE writes as themselves
+        self.bytes = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in plain)}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return pack_ids(self.tok.encode(text, add_special_tokens=False).ids)
+
+    def word(self, stem: str) -> bytes:
+        """Ids of a space and Latin letters: one pre-token, given to the model as its byte characters."""
+        ids = self.memo.get(stem)
+        if ids is None:
+            chars = "\u0120" + (stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.bytes))
+            ids = self.memo[stem] = pack_ids([t.id for t in self.model.tokenize(chars)])
+        return ids
 
     def learn(self, chunks: set[str]) -> None:
+        """Remember the ids of a space and each chunk; None if they can't be told from the chunk alone."""
         if len(self.memo) + len(chunks) > MEMO:
             self.memo.clear()
-        sound = [c for c in chunks if c[1:2] and not c[1].isspace()]
-        self.memo.update(dict.fromkeys(chunks))
-        for c, e in zip(sound, self.tok.encode_batch_fast(sound, add_special_tokens=False), strict=True):
-            self.memo[c] = np.array(e.ids, "<u4").tobytes()
+        memo, rest = self.memo, []
+        for c in chunks:
+            stem = c.rstrip(".,;:!?")
+            if stem and stem.isalpha() and (stem.isascii() or max(stem) < "\u0250"):
+                tail = c[len(stem) :]
+                if tail not in self.tails:
+                    self.tails[tail] = self.whole(tail)
+                memo[c] = self.word(stem) + self.tails[tail]
+            elif c and not c[0].isspace():
+                rest.append(c)
+            else:
+                memo[c] = None
+        for c, e in zip(rest, self.tok.encode_batch_fast([" " + c for c in rest], add_special_tokens=False), strict=True):
+            memo[c] = pack_ids(e.ids)
 
     def encode(self, text: str) -> bytes:
         if not text or any(s in text for s in self.special):
             return self.whole(text)
         first, *rest = text.split(" ")
-        rest = [" " + x for x in rest]
-        memo = self.memo
-        missing = {c for c in rest if c not in memo}
-        if missing:
-            if len(missing) > MEMO // 2:
-                return self.whole(text)
-            self.learn(missing)
-            if len(missing) + len(rest) > len(memo) and any(c not in memo for c in rest):
-                self.learn(set(rest))  # the memo was begun anew
-        if first:
-            rest[:0] = [first]
-            if first not in memo:
-                memo[first] = self.whole(first)
         try:
-            return b"".join([memo[c] for c in rest])
-        except (TypeError, KeyError):
-            return self.whole(text)
+            ids = [*map(self.memo.__getitem__, rest)]
+        except KeyError:
+            chunks = set(rest)
+            self.learn(chunks - self.memo.keys())
+            if not chunks <= self.memo.keys():  # the memo was begun anew
+                self.learn(chunks - self.memo.keys())
+            if not chunks <= self.memo.keys():
+                return self.whole(text)
+            ids = [*map(self.memo.__getitem__, rest)]
+        return self.whole(text) if None in ids else (self.whole(first) if first else b"") + b"".join(ids)
+
+
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 @lru_cache(2)
