@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from serieslab.llm import chat, decontaminate, packing, sharding, token_counts, warc
+from serieslab.llm import chat, decontaminate, packing, pii, sharding, token_counts, warc
 from serieslab.llm.common import materialise
 
 
@@ -23,6 +23,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op3_disclosing_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.find_spans(_table(spark, sf_dir, "documents")))
+
+
 def op4_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("k", "hits")
 
@@ -47,7 +51,7 @@ def op10_budgeted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op4_positional_index, op6_warc_transactions, op7_sampled_splitters, op10_budgeted_windows)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_disclosing_terms, op4_positional_index, op6_warc_transactions, op7_sampled_splitters, op10_budgeted_windows)}
 
 
 def oracle_sql() -> dict[str, str]:
