@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from serieslab.llm import chat, decontaminate, embedding_dedup, packing, pii, sharding, token_counts, warc
+from serieslab.llm import chat, decontaminate, embedding_dedup, jaccard_join, packing, pii, sharding, token_counts, warc
 from serieslab.llm.common import materialise
 
 
@@ -40,6 +40,10 @@ def op7_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(_table(spark, sf_dir, "documents")).drop("k")
+
+
 def op9_p_stable_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
@@ -55,7 +59,7 @@ def op10_budgeted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_disclosing_terms, op4_positional_index, op6_warc_transactions, op7_sampled_splitters, op9_p_stable_hashing, op10_budgeted_windows)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_disclosing_terms, op4_positional_index, op6_warc_transactions, op7_sampled_splitters, op8_parity_sketch_join, op9_p_stable_hashing, op10_budgeted_windows)}
 
 
 def oracle_sql() -> dict[str, str]:
