@@ -104,14 +104,15 @@ def band(n: int) -> int:
 
 def block_values(u: np.ndarray, g: int) -> np.ndarray:
     """The values of the non-empty blocks of band g; under 32 shingles every token is a block."""
-    x = mix(u + _C)
+    with np.errstate(over="ignore"):
+        x, step = mix(u + _C), _A * np.uint64(g + 1)
     if g < 5:
-        return mix(x + np.uint64(g) * _A)
+        return mix(x + step)
     per = 0.55 if g < 7 else 0.9 if g < 9 else 1.1 if g < 11 else 1.25  # tokens a block, at the band's lower end
     at = (u >> np.uint64(32)) * np.uint64(int((1 << g) / per)) >> np.uint64(32)
     starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     with np.errstate(over="ignore"):
-        return mix(np.bitwise_xor.reduceat(x, starts) + np.uint64(g + 1) * _A + at[starts] * _B)
+        return mix(np.bitwise_xor.reduceat(x, starts) + step + at[starts] * _B)
 
 
 def postings(u: np.ndarray, num: int, den: int) -> list[tuple[np.ndarray, int]]:

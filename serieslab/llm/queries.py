@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from serieslab.llm import chat, decontaminate, embedding_dedup, jaccard_join, packing, pii, sharding, token_counts, warc
+from serieslab.llm import chat, decontaminate, embedding_dedup, jaccard_join, packing, pii, quality, sharding, token_counts, warc
 from serieslab.llm.common import materialise
 
 
@@ -31,6 +31,11 @@ def op4_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("k", "hits")
 
 
+def op5_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op6_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
@@ -59,7 +64,7 @@ def op10_budgeted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_disclosing_terms, op4_positional_index, op6_warc_transactions, op7_sampled_splitters, op8_parity_sketch_join, op9_p_stable_hashing, op10_budgeted_windows)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_disclosing_terms, op4_positional_index, op5_attention_mil, op6_warc_transactions, op7_sampled_splitters, op8_parity_sketch_join, op9_p_stable_hashing, op10_budgeted_windows)}
 
 
 def oracle_sql() -> dict[str, str]:
