@@ -1,0 +1,396 @@
+"""Numpy kernels of the models; one fit is one series, run by grouped tasks over many series or replicates."""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable
+
+import numpy as np
+
+
+# --- optimisation and derivatives
+def minimise(f: Callable[[np.ndarray], float], x0: np.ndarray, step: float = 0.1, iterations: int = 600, tol: float = 1e-8) -> tuple[np.ndarray, float]:
+    """Nelder-Mead from x0, begun anew from its result until that no longer helps."""
+
+    def value(x: np.ndarray) -> float:
+        v = f(x)
+        return v if np.isfinite(v) else 1e12
+
+    best, fbest = np.asarray(x0, float), value(np.asarray(x0, float))
+    for _ in range(3):
+        pts = np.vstack([best, best + np.eye(len(best)) * step * (np.abs(best)[:, None] + 0.1)])
+        vals = np.array([value(p) for p in pts])
+        for _ in range(iterations):
+            order = vals.argsort()
+            pts, vals = pts[order], vals[order]
+            if vals[-1] - vals[0] < tol * (abs(vals[0]) + tol):
+                break
+            centre = pts[:-1].mean(axis=0)
+            r = 2 * centre - pts[-1]
+            fr = value(r)
+            if fr < vals[0]:
+                e = 3 * centre - 2 * pts[-1]
+                fe = value(e)
+                pts[-1], vals[-1] = (e, fe) if fe < fr else (r, fr)
+            elif fr < vals[-2]:
+                pts[-1], vals[-1] = r, fr
+            else:
+                c = (centre + (r if fr < vals[-1] else pts[-1])) / 2
+                fc = value(c)
+                if fc < min(fr, vals[-1]):
+                    pts[-1], vals[-1] = c, fc
+                else:
+                    pts[1:] = (pts[1:] + pts[0]) / 2
+                    vals[1:] = [value(p) for p in pts[1:]]
+        k = vals.argmin()
+        gain, best, fbest = fbest - vals[k], pts[k].copy(), vals[k]
+        if gain < tol * (abs(fbest) + 1):
+            break
+    return best, float(fbest)
+
+
+def gradient(f: Callable, x: np.ndarray, eps: float = 1e-5) -> np.ndarray:
+    h = eps * np.maximum(1, np.abs(x))
+    return np.array([(f(x + e) - f(x - e)) / (2 * d) for e, d in zip(np.diag(h), h, strict=True)])
+
+
+def hessian(f: Callable, x: np.ndarray, eps: float = 1e-4) -> np.ndarray:
+    """Central differences, extrapolated once (Richardson)."""
+
+    def once(e: float) -> np.ndarray:
+        h = e * np.maximum(1, np.abs(x))
+        n = len(x)
+        out = np.empty((n, n))
+        for i in range(n):
+            for j in range(i, n):
+                a, b = np.zeros(n), np.zeros(n)
+                a[i], b[j] = h[i], h[j]
+                out[i, j] = out[j, i] = (f(x + a + b) - f(x + a - b) - f(x - a + b) + f(x - a - b)) / (4 * h[i] * h[j])
+        return out
+
+    return (4 * once(eps) - once(2 * eps)) / 3
+
+
+def standard_errors(f: Callable, x: np.ndarray, scores: np.ndarray | None = None) -> np.ndarray:
+    """From the Hessian of a negative log-likelihood; the sandwich form if per-row scores are given. NaN where undefined."""
+    try:
+        inv = np.linalg.inv(hessian(f, x))
+    except np.linalg.LinAlgError:
+        return np.full(len(x), np.nan)
+    cov = inv if scores is None else inv @ (scores.T @ scores) @ inv
+    d = np.diag(cov)
+    return np.sqrt(np.where(d > 0, d, np.nan))
+
+
+def profile_interval(f: Callable, x: np.ndarray, k: int, drop: float = 3.841458820694124 / 2, span: float = 0.5, points: int = 41, refit: bool = True) -> tuple[float, float]:
+    """Where the profile of parameter k rises by `drop` (half the 95 % chi-square); the others are refitted or held."""
+    base, rest = f(x), [i for i in range(len(x)) if i != k]
+
+    def at(v: float) -> float:
+        y = x.copy()
+        y[k] = v
+        if not refit or not rest:
+            return f(y)
+
+        def g(z: np.ndarray) -> float:
+            y[rest] = z
+            return f(y)
+
+        return minimise(g, x[rest], iterations=120)[1]
+
+    ends = []
+    for sign in (-1, 1):
+        last, lv = x[k], 0.0
+        for s in np.linspace(0, span * max(abs(x[k]), 0.05), points)[1:]:
+            v = x[k] + sign * s
+            rise = at(v) - base
+            if rise >= drop:
+                last += (v - last) * (drop - lv) / (rise - lv)
+                break
+            last, lv = v, rise
+        ends.append(float(last))
+    return ends[0], ends[1]
+
+
+# --- univariate volatility
+def garch_variance(y: np.ndarray, omega: float, alpha: float, beta: float) -> np.ndarray:
+    h = np.empty(len(y))
+    h[0] = omega / max(1e-8, 1 - alpha - beta)
+    for t in range(1, len(y)):
+        h[t] = omega + alpha * y[t - 1] ** 2 + beta * h[t - 1]
+    return h
+
+
+def garch_nll(par: np.ndarray, y: np.ndarray, w: np.ndarray | None = None) -> float:
+    omega, alpha, beta = par
+    if omega <= 0 or alpha < 0 or beta < 0 or alpha + beta >= 0.9999:
+        return 1e12
+    h = garch_variance(y, omega, alpha, beta)
+    ll = -0.5 * (math.log(2 * math.pi) + np.log(h) + y * y / h)
+    return -float(ll.sum() if w is None else (w * ll).sum())
+
+
+def fit_garch(y: np.ndarray, w: np.ndarray | None = None) -> dict:
+    v = float(y.var())
+    par, nll = minimise(lambda p: garch_nll(p, y, w), np.array([0.1 * v, 0.08, 0.82]))
+    return {"omega": par[0], "alpha": par[1], "beta": par[2], "loglik": -nll, "h": garch_variance(y, *par)}
+
+
+# --- dynamic correlation
+def dcc_path(z: np.ndarray, alpha: float, beta: float, qbar: np.ndarray, gamma: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Q and R of DCC(1,1), asymmetric with gamma > 0; the first Q is qbar."""
+    n, k = z.shape
+    neg = np.minimum(z, 0)
+    nbar = neg.T @ neg / n
+    q = np.empty((n, k, k))
+    q[0] = qbar
+    base = (1 - alpha - beta) * qbar - gamma * nbar
+    for t in range(1, n):
+        q[t] = base + alpha * np.outer(z[t - 1], z[t - 1]) + gamma * np.outer(neg[t - 1], neg[t - 1]) + beta * q[t - 1]
+    d = 1 / np.sqrt(np.einsum("tii->ti", q))
+    return q, q * d[:, :, None] * d[:, None, :]
+
+
+def dcc_ll(z: np.ndarray, r: np.ndarray, shape: float | None = None) -> np.ndarray:
+    """Per-row log-likelihood of the correlations: normal, or Student t with unit variances."""
+    k = z.shape[1]
+    _, logdet = np.linalg.slogdet(r)
+    quad = np.einsum("ti,ti->t", z, np.linalg.solve(r, z[:, :, None])[:, :, 0])
+    if shape is None:
+        return -0.5 * (logdet + quad - (z * z).sum(axis=1))
+    c = math.lgamma((shape + k) / 2) - math.lgamma(shape / 2) - k / 2 * math.log(math.pi * (shape - 2))
+    return c - 0.5 * logdet - (shape + k) / 2 * np.log1p(quad / (shape - 2))
+
+
+def dcc_nll(par: np.ndarray, z: np.ndarray, qbar: np.ndarray, w: np.ndarray | None = None) -> float:
+    alpha, beta, gamma = par[0], par[1], par[2] if len(par) > 2 else 0.0
+    if min(alpha, beta, gamma) < 0 or alpha + beta + gamma / 2 >= 0.9999:
+        return 1e12
+    ll = dcc_ll(z, dcc_path(z, alpha, beta, qbar, gamma)[1])
+    return -float(ll.sum() if w is None else (w * ll).sum())
+
+
+def fit_dcc(y: np.ndarray, asymmetric: bool = False, transform: Callable | None = None) -> dict:
+    """GARCH(1,1) margins, then the correlation; with a transform (a copula's margins) applied to the residuals."""
+    margins = [fit_garch(c) for c in (y - y.mean(axis=0)).T]
+    z = np.column_stack([c / np.sqrt(m["h"]) for c, m in zip((y - y.mean(axis=0)).T, margins, strict=True)])
+    z = transform(z) if transform else z
+    qbar = np.corrcoef(z.T)
+    par, nll = minimise(lambda p: dcc_nll(p, z, qbar), np.array([0.05, 0.9, 0.02][: 2 + asymmetric]))
+    _, r = dcc_path(z, par[0], par[1], qbar, par[2] if asymmetric else 0.0)
+    return {"margins": margins, "z": z, "qbar": qbar, "par": par, "nll": nll, "R": r}
+
+
+def normal_scores(z: np.ndarray) -> np.ndarray:
+    """Empirical distribution, scaled by n / (n + 1), through the normal quantile: the copula's margins."""
+    from statistics import NormalDist
+
+    inv = np.vectorize(NormalDist().inv_cdf)
+    rank = z.argsort(axis=0).argsort(axis=0) + 1
+    return inv(rank / (len(z) + 1))
+
+
+def ica(x: np.ndarray, restarts: int = 3, iterations: int = 200, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Independent components s = x A^-T by fixed-point iteration on log cosh, the best of some restarts: (s, A)."""
+    x = x - x.mean(axis=0)
+    val, vec = np.linalg.eigh(np.cov(x.T))
+    white = x @ vec / np.sqrt(val)
+    best: tuple[float, np.ndarray] | None = None
+    for r in range(restarts):
+        w = np.linalg.qr(np.random.default_rng([seed, r]).standard_normal((x.shape[1],) * 2))[0]
+        for _ in range(iterations):
+            g = np.tanh(white @ w.T)
+            u, _, vt = np.linalg.svd(g.T @ white / len(x) - np.diag((1 - g * g).mean(axis=0)) @ w)
+            new = u @ vt
+            done = np.abs(np.abs((new * w).sum(axis=1)) - 1).max() < 1e-8
+            w = new
+            if done:
+                break
+        score = float(((np.log(np.cosh(white @ w.T)).mean(axis=0) - 0.37457) ** 2).sum())
+        if best is None or score > best[0]:
+            best = (score, w)
+    s = white @ best[1].T
+    return s, vec * np.sqrt(val) @ best[1].T
+
+
+def fit_gogarch(y: np.ndarray) -> dict:
+    """Components, their GARCH fits and the series' covariances over time."""
+    s, mixing = ica(y)
+    fits = [fit_garch(c) for c in s.T]
+    h = np.column_stack([f["h"] for f in fits])
+    return {"mixing": mixing, "fits": fits, "cov": np.einsum("ij,tj,kj->tik", mixing, h, mixing)}
+
+
+# --- regimes
+def _log_normal(y: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
+    d = y - mean
+    low = np.linalg.cholesky(cov + 1e-10 * np.eye(cov.shape[0]))
+    s = np.linalg.solve(low, d.T)
+    return -0.5 * ((s * s).sum(axis=0) + len(cov) * math.log(2 * math.pi)) - np.log(np.diag(low)).sum()
+
+
+def stationary_law(p: np.ndarray) -> np.ndarray:
+    k = len(p)
+    return np.linalg.lstsq(np.vstack([p.T - np.eye(k), np.ones(k)]), np.r_[np.zeros(k), 1.0], rcond=None)[0]
+
+
+def forward_backward(ll: np.ndarray, p: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Smoothed state probabilities, summed joint probabilities of neighbours, and the log-likelihood."""
+    n, k = ll.shape
+    top = ll.max(axis=1, keepdims=True)
+    b = np.exp(ll - top)
+    a, c, back = np.empty((n, k)), np.empty(n), np.ones((n, k))
+    for t in range(n):
+        a[t] = (first if t == 0 else a[t - 1] @ p) * b[t]
+        c[t] = max(a[t].sum(), 1e-300)
+        a[t] /= c[t]
+    for t in range(n - 2, -1, -1):
+        back[t] = p @ (b[t + 1] * back[t + 1]) / c[t + 1]
+    joint = np.einsum("ti,ij,tj->ij", a[:-1], p, b[1:] * back[1:] / c[1:, None])
+    smooth = a * back
+    return smooth / smooth.sum(axis=1, keepdims=True), joint, float((np.log(c) + top[:, 0]).sum())
+
+
+def viterbi(ll: np.ndarray, p: np.ndarray, first: np.ndarray) -> np.ndarray:
+    lp = np.log(p + 1e-300)
+    score, came = np.log(first + 1e-300) + ll[0], np.zeros(ll.shape, int)
+    for t in range(1, len(ll)):
+        step = score[:, None] + lp
+        came[t] = step.argmax(axis=0)
+        score = step.max(axis=0) + ll[t]
+    path = np.empty(len(ll), int)
+    path[-1] = score.argmax()
+    for t in range(len(ll) - 1, 0, -1):
+        path[t - 1] = came[t, path[t]]
+    return path
+
+
+def fit_hmm(y: np.ndarray, k: int = 2, max_iter: int = 100, tol: float = 1e-6) -> dict:
+    """Gaussian hidden Markov model by EM; states are numbered by falling first-column mean's variance order (rising variance)."""
+    y = y.reshape(len(y), -1)
+    order = np.abs(y - np.median(y, axis=0)).sum(axis=1).argsort()
+    label = np.empty(len(y), int)
+    for s, part in enumerate(np.array_split(order, k)):
+        label[part] = s
+    smooth = np.eye(k)[label]
+    p = np.full((k, k), 0.1 / max(1, k - 1))
+    np.fill_diagonal(p, 0.9)
+    first, last = np.full(k, 1 / k), -np.inf
+    for it in range(1, max_iter + 1):
+        w = smooth.sum(axis=0)
+        mean = smooth.T @ y / w[:, None]
+        cov = [((smooth[:, s, None] * (y - mean[s])).T @ (y - mean[s])) / w[s] + 1e-8 * np.eye(y.shape[1]) for s in range(k)]
+        ll = np.column_stack([_log_normal(y, mean[s], cov[s]) for s in range(k)])
+        smooth, joint, now = forward_backward(ll, p, first)
+        p, first = joint / joint.sum(axis=1, keepdims=True), smooth[0]
+        if abs(now - last) < tol:
+            break
+        last = now
+    rank = np.argsort([np.trace(c) for c in cov])
+    return {"p": p[np.ix_(rank, rank)], "mean": mean[rank], "cov": np.array(cov)[rank], "smooth": smooth[:, rank], "path": viterbi(ll[:, rank], p[np.ix_(rank, rank)], first[rank]), "loglik": now, "iterations": it}
+
+
+def fit_msvar(y: np.ndarray, max_iter: int = 100, tol: float = 1e-6) -> dict:
+    """Two-state VAR(1) with switching coefficients and covariances, by EM with a filter and a smoother."""
+    x, t = np.column_stack([np.ones(len(y) - 1), y[:-1]]), y[1:]
+    beta0 = np.linalg.lstsq(x, t, rcond=None)[0]
+    e = t - x @ beta0
+    sigma0 = e.T @ e / len(t)
+    beta, sigma = [0.9 * beta0, 1.1 * beta0], [0.9 * sigma0, 1.1 * sigma0]
+    p, first, last = np.array([[0.9, 0.1], [0.1, 0.9]]), np.array([0.5, 0.5]), -np.inf
+    for it in range(1, max_iter + 1):
+        ll = np.column_stack([_log_normal(t - x @ b, np.zeros(t.shape[1]), s) for b, s in zip(beta, sigma, strict=True)])
+        smooth, joint, now = forward_backward(ll, p, first)
+        for s in range(2):
+            w = smooth[:, s]
+            xw = x * w[:, None]
+            beta[s] = np.linalg.solve(xw.T @ x + 1e-10 * np.eye(x.shape[1]), xw.T @ t)
+            r = t - x @ beta[s]
+            sigma[s] = (r * w[:, None]).T @ r / w.sum()
+        p = joint / joint.sum(axis=1, keepdims=True)
+        if abs(now - last) < tol:
+            break
+        last = now
+    return {"beta": beta, "sigma": sigma, "p": p, "smooth": np.vstack([smooth[:1], smooth]), "loglik": now, "iterations": it}
+
+
+def fit_ms_garch(y: np.ndarray, k: int = 2, max_iter: int = 15, tol: float = 1e-4, ar: int = 1) -> dict:
+    """AR + GARCH(1,1) in each of k states, by EM: a weighted fit of each state's model, then the transition matrix."""
+    h0 = fit_hmm(y, k)
+    smooth, p, first, last = h0["smooth"], h0["p"], np.full(k, 1 / k), -np.inf
+    x = np.column_stack([np.ones(len(y)), *(np.r_[np.full(i, y.mean()), y[:-i]] for i in range(1, ar + 1))])
+    pars = [np.array([0.1 * y.var() * (0.5 + s), 0.08, 0.82]) for s in range(k)]
+    log: list[tuple[int, float]] = []
+    for it in range(1, max_iter + 1):
+        ll = np.empty((len(y), k))
+        for s in range(k):
+            w = smooth[:, s]
+            coef = np.linalg.lstsq(x * np.sqrt(w)[:, None], y * np.sqrt(w), rcond=None)[0]
+            e = y - x @ coef
+            pars[s], _ = minimise(lambda q, e=e, w=w: garch_nll(q, e, w), pars[s], iterations=60)
+            hs = garch_variance(e, *pars[s])
+            ll[:, s] = -0.5 * (math.log(2 * math.pi) + np.log(hs) + e * e / hs)
+        smooth, joint, now = forward_backward(ll, p, first)
+        p = joint / joint.sum(axis=1, keepdims=True)
+        log.append((it, now))
+        if abs(now - last) < tol:
+            break
+        last = now
+    n_par = k * (3 + 1 + ar) + k * (k - 1)
+    return {"pars": pars, "p": p, "smooth": smooth, "path": smooth.argmax(axis=1), "loglik": now, "log": log, "aic": 2 * n_par - 2 * now, "bic": n_par * math.log(len(y)) - 2 * now}
+
+
+# --- simulation and tests
+def simulate_garch(n: int, omega: float, alpha: float, beta: float, seed: int, burn: int = 200) -> np.ndarray:
+    rng = np.random.default_rng(seed)
+    e, h, out = rng.standard_normal(n + burn), omega / (1 - alpha - beta), np.empty(n + burn)
+    for t in range(n + burn):
+        out[t] = math.sqrt(h) * e[t]
+        h = omega + alpha * out[t] ** 2 + beta * h
+    return out[burn:]
+
+
+def simulate_dcc(n: int, k: int, alpha: float, beta: float, rho: float, seed: int, omega: float = 0.05, a: float = 0.08, b: float = 0.9, shape: float | None = None) -> np.ndarray:
+    """GARCH margins with DCC(1,1) correlations; Student t innovations have unit variance."""
+    rng = np.random.default_rng(seed)
+    qbar = np.full((k, k), rho) + (1 - rho) * np.eye(k)
+    q, h, y = qbar.copy(), np.full(k, omega / (1 - a - b)), np.empty((n + 200, k))
+    for t in range(n + 200):
+        d = 1 / np.sqrt(np.diag(q))
+        z = np.linalg.cholesky(q * np.outer(d, d)) @ rng.standard_normal(k)
+        if shape:
+            z *= math.sqrt((shape - 2) / rng.chisquare(shape))
+        y[t] = np.sqrt(h) * z
+        h = omega + a * y[t] ** 2 + b * h
+        q = (1 - alpha - beta) * qbar + alpha * np.outer(z, z) + beta * q
+    return y[200:]
+
+
+def simulate_regimes(n: int, p: np.ndarray, means: list[float], sds: list[float], seed: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(seed)
+    state = np.empty(n, int)
+    state[0] = 0
+    for t in range(1, n):
+        state[t] = rng.choice(len(p), p=p[state[t - 1]])
+    return np.array(means)[state] + np.array(sds)[state] * rng.standard_normal(n), state
+
+
+def ljung_box(x: np.ndarray, lags: int = 10) -> float:
+    d = x - x.mean()
+    r = np.array([(d[i:] * d[:-i]).sum() for i in range(1, lags + 1)]) / (d * d).sum()
+    return float(len(x) * (len(x) + 2) * (r**2 / (len(x) - np.arange(1, lags + 1))).sum())
+
+
+# --- portfolio statistics that users bootstrap
+def min_variance(returns: np.ndarray) -> np.ndarray:
+    w = np.linalg.solve(np.cov(returns.T) + 1e-12 * np.eye(returns.shape[1]), np.ones(returns.shape[1]))
+    return w / w.sum()
+
+
+def risk_parity(returns: np.ndarray, iterations: int = 200) -> np.ndarray:
+    cov = np.cov(returns.T)
+    w = np.ones(len(cov)) / len(cov)
+    for _ in range(iterations):
+        w = w * np.sqrt(1 / len(cov) / np.maximum(w * (cov @ w) / (w @ cov @ w), 1e-12))
+        w /= w.sum()
+    return w

@@ -1,21 +1,354 @@
-"""Every registered query of the library, with its SQL oracle where SQL can say it."""
+"""Every registered query of the library, with its SQL oracle where SQL can say it.
+
+The series are daily sums of `orders` (one column) and daily means of `lineitem` (four). Randomness is hashed, so a
+plan of blocks is the same here and in SQL. Floating results are rounded, as sums may be taken in any order.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from serieslab.functions import models
+from serieslab.operators import fits, resample, summary
+from serieslab.sources import series as src
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+BOOTS, LENGTH, SEED = 20, 20, 1
+DAY = """day AS (SELECT CAST(o_orderdate AS DATE) AS d, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS v1 FROM orders GROUP BY 1),
+s AS (SELECT row_number() OVER (ORDER BY d) - 1 AS t, v1 FROM day), n AS (SELECT count(*) AS n FROM s)"""
+LINES = """day AS (SELECT CAST(l_shipdate AS DATE) AS d, {0} FROM lineitem GROUP BY 1),
+s AS (SELECT row_number() OVER (ORDER BY d) - 1 AS t, quantity, price, discount, tax FROM day), n AS (SELECT count(*) AS n FROM s)""".format(
+    ", ".join(f"CAST(sum(CAST({c} AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS {n}" for n, c in (("quantity", "l_quantity"), ("price", "l_extendedprice"), ("discount", "l_discount"), ("tax", "l_tax")))
+)
+
+
+def u_sql(*parts: str) -> str:
+    return f"(('0x' || substr(md5({' || ' + repr('-') + ' || '}), 1, 8))::UBIGINT / 4294967296.0)" if not parts else "(('0x' || substr(md5(" + " || '-' || ".join(f"({p})::VARCHAR" for p in parts) + "), 1, 8))::UBIGINT / 4294967296.0)"
+
+
+def plan_sql(target: str = "n.n", aligned: bool = False, length: int = LENGTH) -> str:
+    u = u_sql(f"'{SEED}'", "boot_id", "block_no")
+    start = f"floor({u} * (n.n // {length})) * {length}" if aligned else f"floor({u} * (n.n - {length} + 1))"
+    return f"""b AS (SELECT b.range AS boot_id, k.range AS block_no FROM range({BOOTS}) b, n, range(100000) k WHERE k.range * {length} < {target}),
+plan AS (SELECT boot_id, block_no, CAST({start} AS BIGINT) AS start, {length} AS "full", least({length}, {target} - block_no * {length}) AS len, block_no * {length} AS pos0 FROM b, n)"""
+
+
+def gather_sql(cols: tuple[str, ...] = ("v1",), weight: str = "1.0") -> str:
+    return f"""g AS (SELECT boot_id, pos0 + i.range AS pos, block_no, (start + i.range) % n.n AS src_t, {weight} AS w FROM plan, n, range(100000) i WHERE i.range < len),
+boots AS (SELECT boot_id, pos, block_no, src_t, w, {', '.join(f'{c} * w AS {c}' for c in cols)} FROM g JOIN s ON s.t = g.src_t)"""
+
+
+STATS = "SELECT boot_id, count(*) AS n, round(avg(v1), 3) AS mean_v1, round(stddev_samp(v1), 3) AS sd_v1, sum(src_t) AS sum_t FROM boots GROUP BY boot_id"
+
+
+def _stats(boots: DataFrame) -> DataFrame:
+    return boots.groupBy("boot_id").agg(F.count("*").alias("n"), F.round(F.avg("v1"), 3).alias("mean_v1"), F.round(F.stddev_samp("v1"), 3).alias("sd_v1"), F.sum("src_t").alias("sum_t"))
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _round(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in cols})
+
+
+# --- series
+@query(f"WITH {DAY} SELECT t, v1 FROM s")
+def series_from_table(spark, sf_dir):
+    return src.validate(src.daily_revenue(spark, sf_dir))
+
+
+@query(f"WITH {DAY}, x AS (SELECT t, v1, v1 - lag(v1) OVER (ORDER BY t) AS d1 FROM s) SELECT t, round(d1 - lag(d1) OVER (ORDER BY t), 2) AS v FROM x QUALIFY t >= 2")
+def difference_twice(spark, sf_dir):
+    return _round(summary.difference(src.daily_revenue(spark, sf_dir), "v1", 2), "v", digits=2)
+
+
+@query(f"WITH {LINES} SELECT t, round(quantity, 6) AS quantity, round(tax, 6) AS tax, round(lag(quantity) OVER (ORDER BY t), 6) AS quantity_lag1, round(lag(tax) OVER (ORDER BY t), 6) AS tax_lag1, round(lag(quantity, 2) OVER (ORDER BY t), 6) AS quantity_lag2, round(lag(tax, 2) OVER (ORDER BY t), 6) AS tax_lag2 FROM s")
+def lag_matrix(spark, sf_dir):
+    out = resample.lagged(src.daily_lines(spark, sf_dir).select("t", "quantity", "tax"), ["quantity", "tax"], 2)
+    return _round(out, *(c for c in out.columns if c != "t"))
+
+
+@query(f"""WITH {LINES}, m AS (SELECT avg(quantity) AS mq, avg(tax) AS mt FROM s), l AS (SELECT t, quantity - mq AS q, tax - mt AS x, lag(quantity - mq) OVER (ORDER BY t) AS lq, lag(tax - mt) OVER (ORDER BY t) AS lx FROM s, m),
+r AS (SELECT (abs(sum(q * lq) / sum(q * q)) + abs(sum(x * lx) / sum(x * x))) / 2 AS rho FROM l WHERE t > 0)
+SELECT n, round(rho, 8) AS rho, CAST(greatest(5, least(floor(10 / (1 - rho)), floor(sqrt(n)))) AS INTEGER) AS block_length FROM r, n""")
+def default_block_length(spark, sf_dir):
+    return _round(resample.default_block_length(src.daily_lines(spark, sf_dir).select("t", "quantity", "tax")), "rho", digits=8)
+
+
+@query("""WITH i AS (SELECT range AS i FROM range(20)) SELECT i, round(0.5 * (1 - cos(2 * pi() * i / 19.0)), 10) AS cosine, round(1 - abs((i - 9.5) / 9.5), 10) AS bartlett,
+round(CASE WHEN i < 0.5 * 19 / 2 THEN 0.5 * (1 + cos(pi() * (2 * i / (0.5 * 19) - 1))) WHEN i <= 19 * 0.75 THEN 1.0 ELSE 0.5 * (1 + cos(pi() * (2 * i / (0.5 * 19) - 4 + 1))) END, 10) AS tukey FROM i""")
+def taper_weights(spark, sf_dir):
+    i = spark.range(LENGTH).select(F.col("id").alias("i"))
+    return i.select("i", *(F.round(resample.taper_weight(F.col("i"), F.lit(LENGTH), t), 10).alias(t) for t in resample.TAPERS))
+
+
+# --- resamplers
+def _boots(spark, sf_dir, **kw) -> DataFrame:
+    return resample.block_bootstrap(src.daily_revenue(spark, sf_dir), block_length=LENGTH, num_boots=BOOTS, seed=SEED, **kw)
+
+
+@query(f"WITH {DAY}, {plan_sql()}, {gather_sql()} {STATS}")
+def moving_overlapping(spark, sf_dir):
+    return _stats(_boots(spark, sf_dir))
+
+
+@query(f"WITH {DAY}, {plan_sql(aligned=True)}, {gather_sql()} {STATS}")
+def moving_non_overlapping(spark, sf_dir):
+    return _stats(_boots(spark, sf_dir, block_type="non-overlapping"))
+
+
+@query(f"WITH {DAY}, {plan_sql(target='100')}, {gather_sql()} SELECT boot_id, pos, block_no, src_t, v1 FROM boots")
+def moving_rows(spark, sf_dir):
+    return _boots(spark, sf_dir, num_blocks=5).drop("w")
+
+
+def _taper_query(name: str, weight: str) -> None:
+    def run(spark, sf_dir):
+        return _stats(_boots(spark, sf_dir, block_type="tapered", taper=name))
+
+    run.__name__ = f"moving_tapered_{name}"
+    query(f"WITH {DAY}, {plan_sql()}, {gather_sql(weight=weight)} {STATS}")(run)
+
+
+_taper_query("cosine", "0.5 * (1 - cos(2 * pi() * i.range / 19.0))")
+_taper_query("bartlett", "1 - abs((i.range - 9.5) / 9.5)")
+_taper_query("tukey", "CASE WHEN i.range < 4.75 THEN 0.5 * (1 + cos(pi() * (2 * i.range / 9.5 - 1))) WHEN i.range <= 14.25 THEN 1.0 ELSE 0.5 * (1 + cos(pi() * (2 * i.range / 9.5 - 3))) END")
+
+
+def _stationary_sql(aligned: bool) -> str:
+    v = u_sql(f"'{SEED}'", "'start'", "boot_id", "block_no")
+    start = f"floor({v} * greatest(1, floor(n.n / \"full\"))) * \"full\"" if aligned else f"floor({v} * n.n)"
+    return f"""b AS (SELECT b.range AS boot_id, k.range AS block_no FROM range({BOOTS}) b, n, range(100000) k WHERE k.range < n.n),
+f AS (SELECT boot_id, block_no, least(CAST(floor(ln(1 - {u_sql(f"'{SEED}'", "'len'", "boot_id", "block_no")}) / ln(0.9)) AS BIGINT) + 1, greatest(1, least(ceil(ln(0.01) / ln(0.9)), floor(0.1 * n.n)))) AS "full" FROM b, n),
+c AS (SELECT *, sum("full") OVER (PARTITION BY boot_id ORDER BY block_no) - "full" AS pos0 FROM f),
+plan AS (SELECT boot_id, block_no, CAST({start} AS BIGINT) AS start, "full", least("full", n.n - pos0) AS len, pos0 FROM c, n WHERE pos0 < n.n)"""
+
+
+@query(f"WITH {DAY}, {_stationary_sql(False)}, {gather_sql()} {STATS}")
+def stationary_overlapping(spark, sf_dir):
+    return _stats(_boots(spark, sf_dir, bs_type="stationary"))
+
+
+@query(f"WITH {DAY}, {_stationary_sql(True)}, {gather_sql()} {STATS}")
+def stationary_non_overlapping(spark, sf_dir):
+    return _stats(_boots(spark, sf_dir, bs_type="stationary", block_type="non-overlapping"))
+
+
+WILD = f"""boots AS (SELECT b.range AS boot_id, t AS pos, t AS src_t, CASE WHEN {u_sql(f"'{SEED}'", "b.range", "t")} < 0.5 THEN -1.0 ELSE 1.0 END * v1 AS v1 FROM s, range({BOOTS}) b)"""
+
+
+@query(f"WITH {DAY}, {WILD} {STATS}")
+def wild(spark, sf_dir):
+    return _stats(resample.wild_bootstrap(src.daily_revenue(spark, sf_dir), BOOTS, SEED))
+
+
+@query(f"WITH {LINES}, {plan_sql()}, {gather_sql(('quantity', 'price', 'discount', 'tax'))} SELECT boot_id, round(corr(quantity, price), 8) AS c_qp, round(covar_samp(discount, tax), 8) AS c_dt, round(avg(price), 3) AS m_price FROM boots GROUP BY boot_id")
+def moving_multivariate(spark, sf_dir):
+    boots = resample.block_bootstrap(src.daily_lines(spark, sf_dir), block_length=LENGTH, num_boots=BOOTS, seed=SEED)
+    return boots.groupBy("boot_id").agg(F.round(F.corr("quantity", "price"), 8).alias("c_qp"), F.round(F.covar_samp("discount", "tax"), 8).alias("c_dt"), F.round(F.avg("price"), 3).alias("m_price"))
+
+
+STATES = "st AS (SELECT t, CASE WHEN v1 > (SELECT median(v1) FROM s) THEN 1 ELSE 0 END AS state FROM s)"
+RUNS = "isl AS (SELECT t, state, t - row_number() OVER (PARTITION BY state ORDER BY t) AS g FROM st), runs AS (SELECT row_number() OVER (ORDER BY min(t)) - 1 AS run_no, state, min(t) AS start, count(*) AS len FROM isl GROUP BY state, g)"
+
+
+def _states(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    s = src.daily_revenue(spark, sf_dir)
+    m = s.agg(F.median("v1")).first()[0]
+    return s, s.select("t", F.when(F.col("v1") > m, 1).otherwise(0).alias("state"))
+
+
+@query(f"WITH {DAY}, {STATES}, {RUNS} SELECT run_no, state, start, len FROM runs")
+def regime_runs(spark, sf_dir):
+    return resample.runs(_states(spark, sf_dir)[1])
+
+
+@query(f"""WITH {DAY}, {STATES}, {RUNS}, b AS (SELECT b.range AS boot_id, k.range AS block_no FROM range({BOOTS}) b, n, range(100000) k WHERE k.range < n.n),
+d AS (SELECT boot_id, block_no, CAST(floor({u_sql(f"'{SEED}'", 'boot_id', 'block_no')} * (SELECT count(*) FROM runs)) AS BIGINT) AS run_no FROM b),
+c AS (SELECT d.boot_id, block_no, state, start, len, sum(len) OVER (PARTITION BY boot_id ORDER BY block_no) - len AS pos0 FROM d JOIN runs USING (run_no)),
+plan AS (SELECT boot_id, block_no, state, start, least(len, n.n - pos0) AS len, pos0 FROM c, n WHERE pos0 < n.n),
+boots AS (SELECT boot_id, state, (start + i.range) % n.n AS src_t FROM plan, n, range(100000) i WHERE i.range < len)
+SELECT boot_id, count(*) AS n, sum(src_t) AS sum_t, sum(state) AS in_state FROM boots GROUP BY boot_id""")
+def regime_run_bootstrap(spark, sf_dir):
+    s, st = _states(spark, sf_dir)
+    return resample.regime_bootstrap(s, st, BOOTS, seed=SEED).groupBy("boot_id").agg(F.count("*").alias("n"), F.sum("src_t").alias("sum_t"), F.sum("state").alias("in_state"))
+
+
+@query(f"WITH {DAY}, {STATES}, p AS (SELECT state AS i, lead(state) OVER (ORDER BY t) AS j FROM st), c AS (SELECT i, j, count(*) AS n FROM p WHERE j IS NOT NULL GROUP BY i, j), g AS (SELECT a.range AS i, b.range AS j FROM range(2) a, range(2) b) SELECT g.i, g.j, coalesce(n, 0) AS n, round(coalesce(n, 0) / sum(coalesce(n, 0)) OVER (PARTITION BY g.i), 8) AS p FROM g LEFT JOIN c ON g.i = c.i AND g.j = c.j")
+def transition_matrix(spark, sf_dir):
+    return _round(resample.transition_counts(_states(spark, sf_dir)[1]), "p", digits=8)
+
+
+@query()
+def state_pool_bootstrap(spark, sf_dir):
+    s, st = _states(spark, sf_dir)
+    return resample.pool_bootstrap(s, st, BOOTS, 200, SEED)
+
+
+@query(f"WITH {DAY}, {STATES} SELECT x.range AS state, count(st.t) AS n, round(count(st.t) / (SELECT count(*) FROM st), 8) AS share FROM range(3) x LEFT JOIN st ON st.state = x.range GROUP BY 1")
+def regime_shares(spark, sf_dir):
+    return _round(summary.regime_shares(_states(spark, sf_dir)[1], [0, 1, 2]), "share", digits=8)
+
+
+# --- statistics of replicates
+OUTS = f"WITH {DAY}, {plan_sql()}, {gather_sql()}, outs AS (SELECT 'v1:mean' AS name, boot_id, avg(v1) AS value FROM boots GROUP BY boot_id UNION ALL SELECT 'v1:sd', boot_id, stddev_samp(v1) FROM boots GROUP BY boot_id)"
+
+
+def _outs(spark, sf_dir) -> DataFrame:
+    return summary.apply_columns(_boots(spark, sf_dir), {"mean": F.avg, "sd": F.stddev_samp})
+
+
+@query(f"{OUTS} SELECT name AS \"Name\", round(avg(value), 2) AS \"Mean\", round(stddev_samp(value), 2) AS \"SD\", round(quantile_cont(value, 0.025), 2) AS \"CI_Lower\", round(quantile_cont(value, 0.975), 2) AS \"CI_Upper\", round(quantile_cont(value, 0.975) - quantile_cont(value, 0.025), 2) AS \"CI_Width\" FROM outs GROUP BY name")
+def func_summary(spark, sf_dir):
+    return _round(summary.summarize(_outs(spark, sf_dir), digits=6), "Mean", "SD", "CI_Lower", "CI_Upper", "CI_Width", digits=2)
+
+
+@query(f"{OUTS}, c AS (SELECT name, avg(value) AS m, stddev_samp(value) AS sd FROM outs GROUP BY name) SELECT name AS \"Name\", round(m, 2) AS \"Mean\", round(sd, 2) AS \"SD\", round(sd / (abs(m) + 1e-8), 8) AS \"CV\", CASE WHEN sd / (abs(m) + 1e-8) < 0.3 THEN 'Stable' WHEN sd / (abs(m) + 1e-8) < 0.6 THEN 'Moderate' ELSE 'Unstable' END AS \"Stability\" FROM c")
+def func_variation(spark, sf_dir):
+    return _round(_round(summary.variation(_outs(spark, sf_dir)), "Mean", "SD", digits=2), "CV", digits=8)
+
+
+@query(f"{OUTS}, r AS (SELECT name, value, row_number() OVER (PARTITION BY name ORDER BY value) AS k, count(*) OVER (PARTITION BY name) AS n FROM outs) SELECT name AS \"Name\", round(avg(value), 2) AS \"Boot_Mean\", round(median(value), 2) AS \"Boot_Median\", round(avg(value) FILTER (k > floor(n * 0.1) AND k <= n - floor(n * 0.1)), 2) AS \"Winsorized\", round(quantile_cont(value, 0.25), 2) AS \"Conservative\" FROM r GROUP BY name")
+def func_robust(spark, sf_dir):
+    return _round(summary.robust(_outs(spark, sf_dir)), "Boot_Mean", "Boot_Median", "Winsorized", "Conservative", digits=2)
+
+
+@query(f"{OUTS} SELECT boot_id, round(max(value) FILTER (name = 'v1:mean'), 3) AS mean, round(max(value) FILTER (name = 'v1:sd'), 3) AS sd FROM outs GROUP BY boot_id")
+def func_matrix(spark, sf_dir):
+    wide = _outs(spark, sf_dir).groupBy("boot_id").pivot("name", ["v1:mean", "v1:sd"]).agg(F.first("value"))
+    return wide.select("boot_id", F.round("`v1:mean`", 3).alias("mean"), F.round("`v1:sd`", 3).alias("sd"))
+
+
+@query(f"WITH {LINES}, {plan_sql()}, {gather_sql(('quantity', 'price', 'discount', 'tax'))} SELECT boot_id, 'means' AS name, k.range AS idx, round(CASE k.range WHEN 0 THEN avg(quantity) WHEN 1 THEN avg(price) WHEN 2 THEN avg(discount) ELSE avg(tax) END, 3) AS value FROM boots, range(4) k GROUP BY boot_id, k.range")
+def func_of_frame(spark, sf_dir):
+    boots = resample.block_bootstrap(src.daily_lines(spark, sf_dir), block_length=LENGTH, num_boots=BOOTS, seed=SEED)
+    return _round(summary.apply_frames(boots, lambda x: {"means": x.mean().to_numpy()}), "value", digits=3)
+
+
+AC = "SELECT {0} count(*) AS length, round(avg(v1), 2) AS mean, round(stddev_samp(v1), 2) AS sd, round(sum(d * l) / sum(d * d), 8) AS ac1 FROM e"
+
+
+@query(f"WITH {DAY}, {plan_sql()}, {gather_sql()}, c AS (SELECT boot_id, pos, v1, v1 - avg(v1) OVER (PARTITION BY boot_id) AS d FROM boots), e AS (SELECT *, lag(d) OVER (PARTITION BY boot_id ORDER BY pos) AS l FROM c) {AC.format('boot_id,')} GROUP BY boot_id")
+def replicate_stats(spark, sf_dir):
+    return _round(_round(summary.replicate_stats(_boots(spark, sf_dir), "v1"), "mean", "sd", digits=2), "ac1", digits=8)
+
+
+@query(f"WITH {DAY}, c AS (SELECT t, v1, v1 - avg(v1) OVER () AS d FROM s), e AS (SELECT *, lag(d) OVER (ORDER BY t) AS l FROM c) {AC.format('')}")
+def original_stats(spark, sf_dir):
+    return _round(_round(summary.original_stats(src.daily_revenue(spark, sf_dir), "v1"), "mean", "sd", digits=2), "ac1", digits=8)
+
+
+@query(f"WITH {DAY}, {_stationary_sql(False)} SELECT boot_id AS replicate, block_no AS block_num, len AS length, start AS start_pos FROM plan")
+def block_table(spark, sf_dir):
+    return summary.blocks_of(_boots(spark, sf_dir, bs_type="stationary"))
+
+
+@query(f"WITH {DAY}, {_stationary_sql(False)}, {gather_sql()}, k AS (SELECT boot_id, pos, src_t, CASE WHEN src_t = (lag(src_t) OVER (PARTITION BY boot_id ORDER BY pos) + 1) % n.n THEN 0 ELSE 1 END AS new FROM boots, n), b2 AS (SELECT *, sum(new) OVER (PARTITION BY boot_id ORDER BY pos) AS block_num FROM k) SELECT boot_id, block_num, count(*) AS length, arg_min(src_t, pos) AS start_pos FROM b2 GROUP BY boot_id, block_num")
+def recovered_blocks(spark, sf_dir):
+    s = src.daily_revenue(spark, sf_dir)
+    return summary.recover_blocks(_boots(spark, sf_dir, bs_type="stationary"), s.count())
+
+
+@query(f"WITH {DAY}, {_stationary_sql(False)} SELECT len AS length, count(*) AS n FROM plan GROUP BY len")
+def block_length_histogram(spark, sf_dir):
+    return summary.blocks_of(_boots(spark, sf_dir, bs_type="stationary")).groupBy("length").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {DAY}, m AS (SELECT *, floor(t * 5 / (SELECT n FROM n)) AS fold FROM s) SELECT CAST(a.fold AS INTEGER) AS fold, round(avg((a.v1 - b.m) ** 2) / 1e6, 3) AS score FROM m a JOIN (SELECT f.range AS fold, avg(m.v1) AS m FROM range(5) f JOIN m ON m.fold <> f.range GROUP BY 1) b ON a.fold = b.fold GROUP BY a.fold")
+def cross_validation(spark, sf_dir):
+    return summary.cross_validate(src.daily_revenue(spark, sf_dir), "v1").select("fold", F.round(F.col("score") / 1e6, 3).alias("score"))
+
+
+@query(f"""WITH {LINES}, m AS (SELECT avg(quantity) AS mq, avg(tax) AS mt, stddev_pop(quantity) AS sq, stddev_pop(tax) AS st FROM s),
+l AS (SELECT t, (quantity - mq) / sq AS q, (tax - mt) / st AS x, lag((quantity - mq) / sq) OVER (ORDER BY t) AS lq, lag((tax - mt) / st) OVER (ORDER BY t) AS lx FROM s, m)
+SELECT 'plugin' AS method, round(greatest(0.001, least(0.999, 1 - abs(sum((q + x) * (lq + lx)) / 4 / max(n.n)))), 6) AS p FROM l, n UNION ALL SELECT '1/n', round(1 / 20.0, 6)""")
+def geometric_p(spark, sf_dir):
+    s = src.daily_lines(spark, sf_dir).select("t", "quantity", "tax")
+    rows = [("plugin", round(resample.geometric_p(s, "plugin"), 6)), ("1/n", round(resample.geometric_p(s, "1/n", LENGTH), 6))]
+    return spark.createDataFrame(rows, "method string, p double")
+
+
+# --- ordered functions and models
+RET = "ret AS (SELECT t - 1 AS t, 100 * ln(v1 / lag(v1) OVER (ORDER BY t)) AS r FROM s QUALIFY lag(v1) OVER (ORDER BY t) IS NOT NULL)"
+
+
+def _returns(spark, sf_dir) -> DataFrame:
+    s = resample.lagged(src.daily_revenue(spark, sf_dir), ["v1"])
+    return s.where("v1_lag1 is not null").select((F.col("t") - 1).alias("t"), (100 * F.log(F.col("v1") / F.col("v1_lag1"))).alias("r"))
+
+
+@query(f"WITH {DAY}, {RET}, p AS (SELECT t, r, 100 * exp(sum(r / 100.0) OVER (ORDER BY t)) AS price FROM ret) SELECT t, round(price, 6) AS price, round(price / max(price) OVER (ORDER BY t) - 1, 8) AS drawdown, round(CASE WHEN t >= 20 THEN stddev_samp(r) OVER (ORDER BY t ROWS BETWEEN 20 PRECEDING AND CURRENT ROW) END, 6) AS vol21 FROM p")
+def price_path(spark, sf_dir):
+    return _round(_round(summary.price_path(_returns(spark, sf_dir), "r"), "price", "vol21"), "drawdown", digits=8)
+
+
+@query(f"WITH RECURSIVE {DAY}, {RET}, z(t, h) AS (SELECT CAST(0 AS BIGINT), CAST(40 / (1 - 0.08 - 0.9) AS DOUBLE) UNION ALL SELECT z.t + 1, 40 + 0.08 * ret.r * ret.r + 0.9 * z.h FROM z JOIN ret ON ret.t = z.t WHERE z.t + 1 < (SELECT count(*) FROM ret)) SELECT z.t, round(h, 5) AS h, round(ret.r / sqrt(h), 6) AS z FROM z JOIN ret ON ret.t = z.t")
+def garch_filter(spark, sf_dir):
+    return _round(_round(summary.garch_path(_returns(spark, sf_dir), "r", 40.0, 0.08, 0.9), "h", digits=5), "z")
+
+
+@query(f"WITH {DAY} SELECT t, rank() OVER (ORDER BY v1) + (count(*) OVER (PARTITION BY v1) - 1) / 2.0 AS rank, round(cume_dist() OVER (ORDER BY v1) * (SELECT n FROM n) / ((SELECT n FROM n) + 1), 10) AS u FROM s")
+def pseudo_observations(spark, sf_dir):
+    s = summary.average_rank(src.daily_revenue(spark, sf_dir), "v1")
+    return _round(summary.pseudo_observations(s, "v1").select("t", F.col("rank").cast("double").alias("rank"), "u"), "u", digits=10)
+
+
+@query(f"WITH {LINES}, m AS (SELECT sum(quantity * price) / sum(quantity) AS mx, sum(quantity * tax) / sum(quantity) AS my FROM s) SELECT round(mx, 4) AS mx, round(my, 8) AS my, round(sum(quantity * (price - mx) ** 2) / sum(quantity), 2) AS vx, round(sum(quantity * (tax - my) ** 2) / sum(quantity), 10) AS vy, round(sum(quantity * (price - mx) * (tax - my)) / sum(quantity), 6) AS cxy, round((sum(quantity * (price - mx) * (tax - my))) / sqrt(sum(quantity * (price - mx) ** 2) * sum(quantity * (tax - my) ** 2)), 8) AS corr FROM s, m GROUP BY mx, my")
+def weighted_moments(spark, sf_dir):
+    r = summary.weighted_moments(src.daily_lines(spark, sf_dir), "price", "tax", "quantity")
+    return r.select(F.round("mx", 4).alias("mx"), F.round("my", 8).alias("my"), F.round("vx", 2).alias("vx"), F.round("vy", 10).alias("vy"), F.round("cxy", 6).alias("cxy"), F.round("corr", 8).alias("corr"))
+
+
+@query(f"WITH {DAY}, {STATES}, p AS (SELECT t, x.range AS state, CASE WHEN state = x.range THEN 0.75 ELSE 0.25 END AS p FROM st, range(2) x) SELECT t, state, p, sum(p) OVER (PARTITION BY t ORDER BY state) AS ymax, sum(p) OVER (PARTITION BY t ORDER BY state) - p AS ymin FROM p")
+def stacked_probabilities(spark, sf_dir):
+    st = _states(spark, sf_dir)[1]
+    probs = st.select("t", F.explode(F.array(F.lit(0), F.lit(1))).alias("x"), F.col("state").alias("s")).select("t", F.col("x").alias("state"), F.when(F.col("x") == F.col("s"), 0.75).otherwise(0.25).alias("p"))
+    return summary.stacked(probs)
+
+
+def _one(df: DataFrame) -> DataFrame:
+    return df.withColumn("series_id", F.lit("all"))
+
+
+def _model(name: str, make: Callable[[SparkSession, str], DataFrame]) -> None:
+    make.__name__ = name
+    query()(make)
+
+
+_model("fit_garch", lambda s, d: fits.fit_each(_one(_returns(s, d)), ["r"], fits.garch, "garch"))
+_model("fit_hmm", lambda s, d: fits.fit_each(_one(_returns(s, d)), ["r"], fits.hmm, "hmm"))
+_model("fit_msvar", lambda s, d: fits.fit_each(_one(src.daily_lines(s, d)), ["quantity", "price"], fits.msvar, "msvar"))
+_model("decode_hmm", lambda s, d: fits.decode(_one(_returns(s, d)), ["r"]))
+_model("hmm_bootstrap", lambda s, d: resample.regime_bootstrap(_returns(s, d), fits.decode(_one(_returns(s, d)), ["r"]).select("t", "state"), 8, seed=SEED))
+
+
+@query()
+def portfolio_weights(spark, sf_dir):
+    boots = resample.block_bootstrap(src.daily_lines(spark, sf_dir), block_length=LENGTH, num_boots=BOOTS, seed=SEED)
+    return summary.apply_frames(boots, lambda x: {"min_variance": models.min_variance(x.to_numpy()), "risk_parity": models.risk_parity(x.to_numpy())})
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return summary.summarize(summary.apply_columns(_boots(spark, sf_dir, bs_type="stationary"), {"mean": F.avg, "sd": F.stddev_samp}))
