@@ -10,8 +10,9 @@ difference by (|A| + |B|)(1 - s)/(1 + s).
    rarest blocks, rarity being the number of distinct sets that hold a block's value. Values that many documents share
    (license lines, common passages) thus drop out without a cap on anything.
 3. Documents that share a looked-up block are candidates. First each is held against the one partner it shares most
-   blocks with; blocks whose documents are then all in one component say nothing more. In the others, all pairs from
-   different components whose sketches are near enough are held against each other, in tiles.
+   blocks with; blocks whose documents are then all in one component say nothing more. In the others, the nearest pair
+   of any two components, then all pairs of components still apart, are held against each other, in tiles, as far as
+   their sketches are near enough.
 4. Candidates are verified on their whole shingle sets.
 
 Equal sets are one class from the first step on, each class being posted once a task, so copies are never paired. A
@@ -280,15 +281,31 @@ def linked_classes(docs: DataFrame, words: int = WORDS, num: int = 75, den: int
     star = star.groupBy("h").agg(F.max(F.struct("shared", "a")).alias("m")).select("m.a", F.col("h").alias("b"))
     star = materialise(_near(star, classes, num, den), "star")
     edges = _verify(star, docs, classes, words, num, den, "star")
-    roots = connected_components(edges)
+    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    # First the nearest pair of any two components that a block joins, then, of those still apart, every pair
+    for nearest in (True, False):
+        pairs = _across(kept, connected_components(edges), classes, num, den, nearest)
+        if pairs is None:
+            break
+        pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "rest")
+        tried = materialise(tried.unionByName(pairs), "tried")
+        edges = materialise(edges.unionByName(_verify(pairs, docs, classes, words, num, den, "rest")), "edges")
+    return rows, classes, edges
+
 
-    # Blocks whose documents are in more than one component are compared in full
+def _across(kept: DataFrame, roots: DataFrame, classes: DataFrame, num: int, den: int, nearest: bool) -> DataFrame | None:
+    """Pairs (a < b) in one block and of different components whose sketches are near enough; None if no block has two.
+
+    Blocks with the same members say the same, so one of each such set is enough.
+    """
     member = kept.join(roots, kept["h"] == roots["id"], "left").select("b", "h", F.coalesce("root", "h").alias("root"))
-    open_ = member.groupBy("b").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size")).where("r0 <> r1")
-    open_ = materialise(open_.select("b", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"), "size"), "open")
+    spread = F.bit_xor(F.xxhash64("h")).alias("x1"), F.bit_xor(F.xxhash64("h", F.lit(1))).alias("x2")
+    blocks = member.groupBy("b").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size"), *spread).where("r0 <> r1")
+    blocks = blocks.groupBy("x1", "x2", "size").agg(F.min("b").alias("b"))
+    open_ = materialise(blocks.select("b", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"), "size"), "open")
     work = open_.agg(F.sum(F.col("size") * F.col("tiles"))).first()[0]
     if not work:
-        return rows, classes, edges
+        return None
     cells = max(1, math.ceil(work / GROUP_ROWS))
     placed = member.join(maybe_broadcast(open_.select("b", "tiles")), "b").join(classes.select("h", "n", "sketch"), "h")
     placed = placed.withColumn("own", F.pmod(F.xxhash64("h"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
@@ -309,13 +326,13 @@ def linked_classes(docs: DataFrame, words: int = WORDS, num: int = 75, den: int
             if i != j:
                 near &= side[:, None] != side[None, :]
             a, b = np.nonzero(near)
-            out.append(pd.DataFrame({"a": h[a], "b": h[b]}))
+            found = pd.DataFrame({"a": h[a], "b": h[b], "ra": np.minimum(root[a], root[b]), "rb": np.maximum(root[a], root[b]), "d": differ[a, b]})
+            if nearest:
+                found = found.sort_values(["d", "a", "b"]).drop_duplicates(["ra", "rb"])
+            out.append(found[["a", "b"]])
         return pd.concat(out).drop_duplicates() if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
-    rest = placed.select("b", "h", "root", "n", "sketch", "own", "i", "j", "cell").groupBy("cell").applyInPandas(compare, "a long, b long").distinct()
-    done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = materialise(rest.join(done, ["a", "b"], "left_anti"), "rest")
-    return rows, classes, edges.unionByName(_verify(rest, docs, classes, words, num, den, "rest"))
+    return placed.select("b", "h", "root", "n", "sketch", "own", "i", "j", "cell").groupBy("cell").applyInPandas(compare, "a long, b long").distinct()
 
 
 def _near(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
