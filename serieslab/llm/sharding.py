@@ -32,18 +32,22 @@ def keyed_sizes(docs: DataFrame, overhead: int = 16) -> DataFrame:
     return docs.select("doc_id", text.alias("x")).select("doc_id", (F.octet_length("x") + overhead).cast("long").alias("size"), F.crc32(F.encode("x", "utf-8")).alias("text_crc32"), F.xxhash64("x").alias("h"))
 
 
+def longs(values: list[int]) -> Column:
+    """A constant array, which the optimiser folds into one literal."""
+    return F.expr(f"array({', '.join(f'{v}L' for v in values)})")
+
+
 def range_of(h: Column, tie: Column, splitters: list[tuple[int, int]]) -> Column:
     """How many splitters are at most (h, tie): a binary search over a constant array."""
     if not splitters:
         return F.lit(0)
-    words = F.split(F.lit(",".join(f"{a} {b}" for a, b in splitters)), ",")
-    table = F.transform(words, lambda w: F.struct(F.split(w, " ")[0].cast("long").alias("h"), F.split(w, " ")[1].cast("long").alias("t")))
-    key = F.struct(h.alias("h"), tie.alias("t"))
+    hs, ties = (longs([x[i] for x in splitters]) for i in (0, 1))
     lo, hi = F.lit(0), F.lit(len(splitters))
 
     def halve(acc: Column, _: Column) -> Column:
         mid = ((acc["lo"] + acc["hi"]) / 2).cast("int")
-        open_, below = acc["lo"] < acc["hi"], F.get(table, mid) <= key
+        at, at_tie = F.get(hs, mid), F.get(ties, mid)
+        open_, below = acc["lo"] < acc["hi"], (at < h) | ((at == h) & (at_tie <= tie))
         return F.struct(F.when(open_ & below, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(open_ & ~below, mid).otherwise(acc["hi"]).alias("hi"))
 
     steps = F.sequence(F.lit(1), F.lit(len(splitters).bit_length()))
@@ -84,7 +88,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 40, overhead: int = 16) -> D
     for p in range(n_ranges + 1):
         starts.append(before)
         before += per_range.get(p, 0)
-    start = F.get(F.transform(F.split(F.lit(",".join(map(str, starts))), ","), lambda x: x.cast("long")), F.col("part"))
+    start = F.get(longs(starts), F.col("part"))
     middle = start + F.col("upto") - F.col("size") / 2
     sharded = summed.withColumn("shard", F.least(F.lit(n_shards - 1), F.floor(middle * n_shards / max(total, 1))).cast("int"))
 
