@@ -99,6 +99,31 @@ def fold(s: bytes, size: int) -> np.ndarray:
     return x
 
 
+def near_pairs(sketches: np.ndarray, n: np.ndarray, root: np.ndarray, side: np.ndarray | None, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions x < y of sets of different roots (and sides, if given) that may be similar, and their sketches' distance."""
+    most = (den - num) * (n[:, None] + n[None, :])
+    near = (den + num) * np.abs(n[:, None] - n[None, :]) <= most
+    near &= root[:, None] != root[None, :]
+    if side is not None:
+        near &= side[:, None] != side[None, :]
+    x, y = np.nonzero(np.triu(near, 1))
+    if not len(x):
+        return x, y, x
+    # Only sets with some partner count for the common width
+    who, at = np.unique(np.r_[x, y], return_inverse=True)
+    width = min(len(s) for s in sketches[who])
+    packed = np.stack([fold(s, width) for s in sketches[who]])
+    a, b = at[: len(x)], at[len(x) :]
+    if len(who) <= 16:
+        d = np.bitwise_count(packed[a] ^ packed[b]).sum(axis=1, dtype=np.int64)
+    else:
+        bits = np.unpackbits(packed, axis=1).astype(np.float32)
+        ones = bits.sum(axis=1)
+        d = (ones[:, None] + ones[None, :] - 2 * (bits @ bits.T))[a, b].astype(np.int64)
+    ok = (den + num) * d <= most[x, y]
+    return x[ok], y[ok], d[ok]
+
+
 def band(n: int) -> int:
     return n.bit_length() - 1
 
@@ -150,8 +175,9 @@ def _post(batches, groups: int, words: int, num: int, den: int, doc_type: pa.Dat
         for i, (doc, text, k) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True)):
             u = shingles(text.as_py(), words)
             h = set_hash(u)
-            rows.append((-1 - (i + number) % groups, doc, len(u), h, k, sketch(u) if len(u) else None, None, None, None, None, None, None, None))
-            if not len(u) or h in seen:
+            new = len(u) and h not in seen
+            rows.append((-1 - (i + number) % groups, doc, len(u), h, k, sketch(u) if new else None, None, None, None, None, None, None, None))
+            if not new:
                 continue
             seen.add(h)
             for v, code in postings(u, num, den):
@@ -312,25 +338,24 @@ def _across(kept: DataFrame, roots: DataFrame, classes: DataFrame, num: int, den
     placed = placed.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).withColumn("cell", F.pmod(F.xxhash64("b", "i", "j"), F.lit(cells)))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for (_, i, j), part in pdf.groupby(["b", "i", "j"], sort=False):
-            if len(part) < 2:
-                continue
-            width = part["sketch"].map(len).min()
-            bits = np.unpackbits(np.array([fold(x, width) for x in part["sketch"]]), axis=1).astype(np.float32)
-            n, root, h, side = (part[c].to_numpy() for c in ("n", "root", "h", "own"))
-            ones = bits.sum(axis=1)
-            differ = ones[:, None] + ones[None, :] - 2 * (bits @ bits.T)
-            near = (den + num) * differ <= (den - num) * (n[:, None] + n[None, :])
-            near &= (root[:, None] != root[None, :]) & (h[:, None] < h[None, :])
-            if i != j:
-                near &= side[:, None] != side[None, :]
-            a, b = np.nonzero(near)
-            found = pd.DataFrame({"a": h[a], "b": h[b], "ra": np.minimum(root[a], root[b]), "rb": np.maximum(root[a], root[b]), "d": differ[a, b]})
-            if nearest:
-                found = found.sort_values(["d", "a", "b"]).drop_duplicates(["ra", "rb"])
-            out.append(found[["a", "b"]])
-        return pd.concat(out).drop_duplicates() if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        b, i, j, n, root, h, side = (pdf[c].to_numpy() for c in ("b", "i", "j", "n", "root", "h", "own"))
+        sketches = pdf["sketch"].to_numpy()
+        order = np.lexsort((h, j, i, b))
+        key = np.stack([b, i, j])[:, order]
+        starts = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)])
+        out = set()
+        for lo, hi in zip(starts, [*starts[1:], len(order)], strict=True):
+            if hi - lo > 1:
+                at = order[lo:hi]
+                across = side[at] if i[at[0]] != j[at[0]] else None
+                x, y, d = near_pairs(sketches[at], n[at], root[at], across, num, den)
+                if nearest and len(x) > 1:
+                    ra, rb = np.minimum(root[at][x], root[at][y]), np.maximum(root[at][x], root[at][y])
+                    by = np.lexsort((y, x, d, rb, ra))
+                    first = by[np.r_[True, (ra[by][1:] != ra[by][:-1]) | (rb[by][1:] != rb[by][:-1])]]
+                    x, y = x[first], y[first]
+                out.update(zip(h[at][x].tolist(), h[at][y].tolist(), strict=True))
+        return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
 
     return placed.select("b", "h", "root", "n", "sketch", "own", "i", "j", "cell").groupBy("cell").applyInPandas(compare, "a long, b long").distinct()
 
