@@ -89,10 +89,11 @@ class ChunkEncoder:
         try:
             ids = [*map(self.memo.__getitem__, rest)]
         except KeyError:
+            # Looked up one by one: chunks - memo.keys() would walk the whole memo for each text
             chunks = set(rest)
-            self.learn(chunks - self.memo.keys())
+            self.learn({c for c in chunks if c not in self.memo})
             if not chunks <= self.memo.keys():  # the memo was begun anew
-                self.learn(chunks - self.memo.keys())
+                self.learn({c for c in chunks if c not in self.memo})
             if not chunks <= self.memo.keys():
                 return self.whole(text)
             ids = [*map(self.memo.__getitem__, rest)]
