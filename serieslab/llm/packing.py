@@ -46,41 +46,32 @@ class ChunkEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.model = self.tok.model
         self.memo: dict[str, bytes | None] = {}
-        self.tails = {"": b""}
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the bytes that byte-level BPE writes as themselves
-        self.bytes = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in plain)}
+        self.leads = np.zeros(self.tok.get_vocab_size(), bool)  # ids that begin with a space
+        self.leads[[i for t, i in self.tok.get_vocab().items() if t[0] == "\u0120"]] = True
 
     def whole(self, text: str) -> bytes:
         return pack_ids(self.tok.encode(text, add_special_tokens=False).ids)
 
-    def word(self, stem: str) -> bytes:
-        """Ids of a space and Latin letters: one pre-token, given to the model as its byte characters."""
-        ids = self.memo.get(stem)
-        if ids is None:
-            chars = "\u0120" + (stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.bytes))
-            ids = self.memo[stem] = pack_ids([t.id for t in self.model.tokenize(chars)])
-        return ids
-
     def learn(self, chunks: set[str]) -> None:
-        """Remember the ids of a space and each chunk; None if they can't be told from the chunk alone."""
+        """Remember the ids of a space and each chunk; None if they can't be told from the chunk alone.
+
+        The chunks are encoded as one text, in which the ids that begin with a space part them.
+        """
         if len(self.memo) + len(chunks) > MEMO:
             self.memo.clear()
-        memo, rest = self.memo, []
-        for c in chunks:
-            stem = c.rstrip(".,;:!?")
-            if stem and stem.isalpha() and (stem.isascii() or max(stem) < "\u0250"):
-                tail = c[len(stem) :]
-                if tail not in self.tails:
-                    self.tails[tail] = self.whole(tail)
-                memo[c] = self.word(stem) + self.tails[tail]
-            elif c and not c[0].isspace():
-                rest.append(c)
-            else:
-                memo[c] = None
-        for c, e in zip(rest, self.tok.encode_batch_fast([" " + c for c in rest], add_special_tokens=False), strict=True):
-            memo[c] = pack_ids(e.ids)
+        plain = [c for c in chunks if c and not c[0].isspace()]
+        if len(plain) < len(chunks):
+            self.memo.update(dict.fromkeys(c for c in chunks if not c or c[0].isspace()))
+        if not plain:
+            return
+        ids = np.array(self.tok.encode_batch_fast([" " + " ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+        starts = np.flatnonzero(self.leads[ids])
+        if len(starts) == len(plain) and not starts[0]:
+            blob, at = ids.tobytes(), (4 * starts).tolist()
+            self.memo.update(zip(plain, [blob[i:j] for i, j in zip(at, [*at[1:], len(blob)], strict=True)], strict=True))
+        else:
+            self.memo.update((c, self.whole(" " + c)) for c in plain)
 
     def encode(self, text: str) -> bytes:
         if not text or any(s in text for s in self.special):
