@@ -14,6 +14,7 @@ empty table gives an empty result; columns other than doc_id and text are not re
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from functools import lru_cache
@@ -26,82 +27,85 @@ from pyspark.sql import functions as F
 
 from serieslab.llm.common import materialise
 
-#: Space-led chunks whose ids a worker remembers; beyond it starts anew.
-MEMO = 600_000
+#: Space-led chunks that a worker remembers; as many again are kept from before the memo was last begun anew.
+MEMO = 400_000
+#: A space as byte-level BPE writes it.
+SPACE = "\u0120"
+#: A Latin word and signs after it, then maybe a line end, a word and signs.
+WORDS = re.compile(r"([^\W\d_\u00b2\u00b3\u00b9\u00bc-\u00be\u0250-\U0010ffff]+)([.,;:!?%&$*#]*(?:\n(?=\w))?)(?:(?<=\n)([^\W\d_\u00b2\u00b3\u00b9\u00bc-\u00be\u0250-\U0010ffff]+)([.,;:!?%&$*#]*))?").fullmatch
 #: Steps of the rule that the driver makes at most, about: pieces are placed in quanta beyond it.
 STEPS = 200_000
 
 
-class ChunkEncoder:
+class ChunkEncoder(dict):
     """Ids as the tokenizer file gives them, remembered for each space-led chunk of text.
 
     In a byte-level BPE a space before a non-space always begins a new pre-token, so a text cut before such spaces
     has the same ids as its chunks in turn. Texts with special strings, or with white space after a space, go to the
-    tokenizer whole.
+    tokenizer whole. As a mapping it gives the ids of a space and the chunk, or None where they can't be told from
+    the chunk alone; a chunk of Latin words, signs and single line ends is put together from its pre-tokens.
     """
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.model = self.tok.model
-        self.memo: dict[str, bytes | None] = {}
-        self.tails = {"": b""}
+        self.tokenize = self.tok.model.tokenize
+        self.older: dict[str, bytes | None] = {}  # the chunks remembered before the last full memo
+        self.signs: dict[str, bytes] = {}
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the bytes that byte-level BPE writes as themselves
         self.bytes = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in plain)}
 
     def whole(self, text: str) -> bytes:
         return pack_ids(self.tok.encode(text, add_special_tokens=False).ids)
 
-    def word(self, stem: str) -> bytes:
-        """Ids of a space and Latin letters: one pre-token, given to the model as its byte characters."""
-        ids = self.memo.get(stem)
+    def word(self, stem: str, lead: str = "") -> bytes:
+        """Ids of Latin letters after `lead`, a space in byte characters or nothing: one pre-token, given to the model as its byte characters."""
+        chars = lead + (stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.bytes))
+        return pack_ids([t.id for t in self.tokenize(chars)])
+
+    def sign(self, x: str) -> bytes:
+        """Ids of a run of SIGNS, maybe with a line end after it."""
+        ids = self.signs.get(x)
         if ids is None:
-            chars = "\u0120" + (stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.bytes))
-            ids = self.memo[stem] = pack_ids([t.id for t in self.model.tokenize(chars)])
+            ids = self.signs[x] = self.whole(x)
+            if len(self.signs) > MEMO:
+                self.signs.clear()
         return ids
 
-    def learn(self, chunks: set[str]) -> None:
-        """Remember the ids of a space and each chunk; None if they can't be told from the chunk alone."""
-        if len(self.memo) + len(chunks) > MEMO:
-            self.memo.clear()
-        memo, rest = self.memo, []
-        for c in chunks:
-            stem = c.rstrip(".,;:!?")
-            if stem and stem.isalpha() and (stem.isascii() or max(stem) < "\u0250"):
-                tail = c[len(stem) :]
-                if tail not in self.tails:
-                    self.tails[tail] = self.whole(tail)
-                memo[c] = self.word(stem) + self.tails[tail]
-            elif c and not c[0].isspace():
-                rest.append(c)
-            else:
-                memo[c] = None
-        for c, e in zip(rest, self.tok.encode_batch_fast([" " + c for c in rest], add_special_tokens=False), strict=True):
-            memo[c] = pack_ids(e.ids)
+    def __missing__(self, chunk: str) -> bytes | None:
+        ids = self.older.get(chunk)
+        if ids is None:
+            parts = WORDS(chunk)
+            if parts:
+                stem, signs, line, signs_after = parts.groups()
+                ids = self.word(stem, SPACE) if stem == chunk else self[stem] + (self.sign(signs) if signs else b"")
+                if line:
+                    ids += self.word(line) + (self.sign(signs_after) if signs_after else b"")
+            elif chunk and not chunk[0].isspace():
+                ids = self.whole(" " + chunk)
+        if len(self) >= MEMO:
+            self.older = dict(self)
+            self.clear()
+        self[chunk] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
         if not text or any(s in text for s in self.special):
             return self.whole(text)
         first, *rest = text.split(" ")
-        try:
-            ids = [*map(self.memo.__getitem__, rest)]
-        except KeyError:
-            # Looked up one by one: chunks - memo.keys() would walk the whole memo for each text
-            chunks = set(rest)
-            self.learn({c for c in chunks if c not in self.memo})
-            if not chunks <= self.memo.keys():  # the memo was begun anew
-                self.learn({c for c in chunks if c not in self.memo})
-            if not chunks <= self.memo.keys():
-                return self.whole(text)
-            ids = [*map(self.memo.__getitem__, rest)]
+        ids = [*map(self.__getitem__, rest)]
         return self.whole(text) if None in ids else (self.whole(first) if first else b"") + b"".join(ids)
 
 
+_SHORT = [struct.Struct(f"<{n}I").pack for n in range(32)]
+
+
 def pack_ids(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return _SHORT[len(ids)](*ids) if len(ids) < 32 else struct.pack(f"<{len(ids)}I", *ids)
 
 
 @lru_cache(2)
