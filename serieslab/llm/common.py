@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +45,18 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+_memo: tuple[object, Any] = (None, None)
+
+
+def worker_memo(key: object, make: Callable[[], Any]) -> Any:
+    """What this Python worker remembers for `key`, made anew if it was last asked for another: stages that take turns in a worker don't add up their memos."""
+    global _memo
+    if _memo[0] != key:
+        _memo = (None, None)
+        _memo = (key, make())
+    return _memo[1]
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from serieslab.llm.common import connected_components, materialise, maybe_broadcast, text_of
+from serieslab.llm.common import connected_components, materialise, maybe_broadcast, text_of, worker_memo
 
 WORDS = 5
 TEXT_PER_GROUP = 10 << 20  # bytes of text whose blocks one grouping task gets, about
@@ -64,15 +64,12 @@ class WordHash(dict):
         return h
 
 
-_hash = WordHash()
-
-
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """The sorted distinct shingle hashes of a text; A-Z are lower-cased, ASCII white space separates words."""
     ws = (text or "").encode().lower().split()
     if not ws:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hash.__getitem__, ws), np.uint64, len(ws))
+    h = np.fromiter(map(worker_memo("word hashes", WordHash).__getitem__, ws), np.uint64, len(ws))
     width = min(words, len(ws))
     out = np.zeros(len(ws) - width + 1, np.uint64)
     with np.errstate(over="ignore"):

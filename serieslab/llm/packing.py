@@ -17,7 +17,6 @@ import os
 import re
 import struct
 import zlib
-from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -25,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from serieslab.llm.common import materialise
+from serieslab.llm.common import materialise, worker_memo
 
 #: Space-led chunks that a worker remembers; as many again are kept from before the memo was last begun anew.
-MEMO = 400_000
+MEMO = 300_000
 #: A space as byte-level BPE writes it.
 SPACE = "\u0120"
 #: A Latin word and signs after it, then maybe a line end, a word and signs.
@@ -108,11 +107,11 @@ def pack_ids(ids: list[int]) -> bytes:
     return _SHORT[len(ids)](*ids) if len(ids) < 32 else struct.pack(f"<{len(ids)}I", *ids)
 
 
-@lru_cache(2)
 def _encoder(path: str | None) -> ChunkEncoder:
     import public_tokenizers
 
-    return ChunkEncoder(path or public_tokenizers.path("byte_bpe_50k.json"))
+    path = path or public_tokenizers.path("byte_bpe_50k.json")
+    return worker_memo(("chunks", path), lambda: ChunkEncoder(path))
 
 
 def _piece_bounds(n: int, capacity: int) -> list[tuple[int, int]]:

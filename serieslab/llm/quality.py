@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from serieslab.llm.common import worker_memo
+
 PASSAGE = 64
 HASHED = 512
 STATS = 10
@@ -48,22 +50,19 @@ class Words(dict):
         return n
 
 
-_words = Words()
-
-
 def features(text: str | None) -> np.ndarray:
     """One row of HASHED + STATS numbers for each passage."""
-    global _words
-    if len(_words) > MEMO:
-        _words = Words()
+    known = worker_memo("words", Words)
+    if len(known) > MEMO:
+        known.clear()
     ws = (text or "").split()
     n = len(ws)
     if not n:
         return np.zeros((1, HASHED + STATS), np.float32)
-    ids = np.fromiter(map(_words.__getitem__, ws), np.int64, n)
+    ids = np.fromiter(map(known.__getitem__, ws), np.int64, n)
     rows = -(-n // PASSAGE)
     at = np.arange(n) // PASSAGE
-    t = _words.table[ids]
+    t = known.table[ids]
     x = np.empty((rows, HASHED + STATS), np.float32)
     size = np.bincount(at, minlength=rows)
     x[:, :HASHED] = np.log1p(np.bincount(at * HASHED + t[:, 0], minlength=rows * HASHED).reshape(rows, HASHED)) / np.sqrt(size)[:, None]
