@@ -42,7 +42,8 @@ TEXT_PER_GROUP = 10 << 20  # bytes of text whose blocks one grouping task gets,
 HOT = 256  # documents of one batch that share a block's value, from which on it travels as rows of its own
 TILE = 512
 GROUP_ROWS = 20_000
-MEMO = 500_000
+MEMO = 250_000
+SLICE = 16 << 20  # bytes of rows whose block values a task sorts at a time, about
 SALTS = 16
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -160,13 +161,21 @@ def postings(u: np.ndarray, num: int, den: int) -> list[tuple[np.ndarray, int]]:
 MAPPED = "p int, doc_id {0}, n long, h long, k long, sketch binary, values binary, classes binary, counts binary, codes binary, marks binary, marked binary, hot array<struct<b:long,h:long,code:int>>"
 
 
+def _slices(batches):
+    """The batches in parts of about SLICE bytes: block values take ten times the room of their texts."""
+    for batch in batches:
+        step = max(1, batch.num_rows * SLICE // max(1, batch.nbytes))
+        for i in range(0, batch.num_rows, step):
+            yield batch.slice(i, step)
+
+
 def _post(batches, groups: int, words: int, num: int, den: int, doc_type: pa.DataType):
     """Per batch: a row for each document, a row of block values for each group of values, and rows of hot values."""
     seen: set[int] = set()
     hot_type = pa.list_(pa.struct([("b", pa.int64()), ("h", pa.int64()), ("code", pa.int32())]))
     names = [x.split()[0] for x in MAPPED.split(", ")]
     types = [pa.int32(), doc_type, pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 7, hot_type]
-    for number, batch in enumerate(batches):
+    for number, batch in enumerate(_slices(batches)):
         rows: list[tuple] = []
         values, owners, codes = [], [], []
         for i, (doc, text, k) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True)):
