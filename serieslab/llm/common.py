@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +60,25 @@ def worker_memo(key: object, make: Callable[[], Any]) -> Any:
     return _memo[1]
 
 
+def trim() -> None:
+    """Give the memory that this Python worker has freed back to the system; the C libraries would keep it for the worker's life."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def trimming(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run for mapInArrow, with trim() after the task's last batch."""
+
+    def run_and_trim(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return run_and_trim
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

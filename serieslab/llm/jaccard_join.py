@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from serieslab.llm.common import connected_components, materialise, maybe_broadcast, text_of, worker_memo
+from serieslab.llm.common import connected_components, materialise, maybe_broadcast, text_of, trim, trimming, worker_memo
 
 WORDS = 5
 TEXT_PER_GROUP = 10 << 20  # bytes of text whose blocks one grouping task gets, about
@@ -268,7 +268,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, n
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array([shingles(x.as_py(), words).tobytes() for x in batch.column(1)], pa.binary())], names=["h", "u"])
 
-    sets = materialise(texts.mapInArrow(cut, "h long, u binary").dropDuplicates(["h"]), "sets")
+    sets = materialise(texts.mapInArrow(trimming(cut), "h long, u binary").dropDuplicates(["h"]), "sets")
 
     def hold(batches):
         for batch in batches:
@@ -280,7 +280,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, n
             yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     left, right = sets.select(F.col("h").alias("a"), F.col("u").alias("ua")), sets.select(F.col("h").alias("b"), F.col("u").alias("ub"))
-    return materialise(pairs.join(right, "b").join(left, "a").select("a", "b", "ua", "ub").mapInArrow(hold, "a long, b long"), name)
+    return materialise(pairs.join(right, "b").join(left, "a").select("a", "b", "ua", "ub").mapInArrow(trimming(hold), "a long, b long"), name)
 
 
 def linked_classes(docs: DataFrame, words: int = WORDS, num: int = 75, den: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -292,9 +292,15 @@ def linked_classes(docs: DataFrame, words: int = WORDS, num: int = 75, den: int
     from pyspark.sql.pandas.types import to_arrow_type
 
     doc_type = to_arrow_type(docs.schema["doc_id"].dataType)
-    mapped = source.mapInArrow(lambda batches: _post(batches, groups, words, num, den, doc_type), MAPPED.format(kind))
+    mapped = source.mapInArrow(trimming(lambda batches: _post(batches, groups, words, num, den, doc_type)), MAPPED.format(kind))
+
+    def size_blocks(table: pa.Table) -> pa.Table:
+        out = _size_blocks(table)
+        trim()
+        return out
+
     sized = f"kind int, doc_id {kind}, n long, h long, k long, sketch binary, b long, size long, code int, hot array<struct<b:long,h:long,code:int>>"
-    found = materialise(mapped.groupBy("p").applyInArrow(_size_blocks, sized), "blocks")
+    found = materialise(mapped.groupBy("p").applyInArrow(size_blocks, sized), "blocks")
 
     rows = found.where("kind = 0 and hot is null").select("doc_id", "n", "h", "k", "sketch")
     classes = rows.where("n > 0").groupBy("h").agg(F.min(F.struct("doc_id", "k")).alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))

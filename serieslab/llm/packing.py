@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from serieslab.llm.common import materialise, worker_memo
+from serieslab.llm.common import materialise, trimming, worker_memo
 
 #: Space-led chunks that a worker remembers; as many again are kept from before the memo was last begun anew.
 MEMO = 300_000
@@ -140,7 +140,7 @@ def token_pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokeniz
 
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(trimming(run), schema)
 
 
 def plan_bins(counts: np.ndarray, capacity: int) -> dict[str, np.ndarray]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from serieslab.llm.common import worker_memo
+from serieslab.llm.common import trimming, worker_memo
 
 PASSAGE = 64
 HASHED = 512
@@ -170,7 +170,7 @@ def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFra
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array(score_batch(shared.value, batch.column(1)), pa.float64())], names=["doc_id", "score"])
 
-    scored = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, score double")
+    scored = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(trimming(run), f"doc_id {kind}, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -183,4 +183,4 @@ def keep_good(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> Dat
         for batch in batches:
             yield batch.filter(pa.array(score_batch(shared.value, batch.column(at)) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimming(run), docs.schema)
