@@ -5,11 +5,13 @@ the corpus tells how often a word stands near a protected value and how often it
 information PMI(value; term) can be held against the value's own information IC(value). A term with PMI >= share x IC
 discloses the value even where the value itself is gone, and is generalised to a placeholder as well.
 
-Probabilities are over the corpus's documents. The support of a (value, term) pair is counted in distinct contexts, so
-a passage that thousands of copies repeat is one piece of evidence. Everything is DataFrame functions; counts are
-pre-aggregated, and the terms are broadcast only after a count of their rows.
+Probabilities are over the corpus's documents (distinct pairs of doc_id and text): those that hold the value, those
+that hold the term, and those that hold both, however far apart. A pair is a candidate only if enough distinct contexts
+of the value hold the term, so a passage that thousands of copies repeat is one context. Pairs that would fall short
+even if the rarer of the two never stood without the other are dropped before documents are intersected. Everything is
+DataFrame functions; counts are pre-aggregated, and the terms are broadcast only after a count of their rows.
 
-Edge cases: null text is empty and has no spans; repeated rows each get their row and count once as evidence; an empty
+Edge cases: null text is empty and has no spans; repeated rows each get their row and count as one document; an empty
 table gives an empty result; columns other than doc_id and text are not read. Offsets are code points, end exclusive.
 The patterns use possessive forms that match the same strings as the plain ones in linear time and constant stack.
 """
@@ -94,19 +96,26 @@ def disclosing_terms(docs: DataFrame, detected: DataFrame, share: float = SHARE,
     """(terms that disclose a value: term, share) and (every candidate term's documents: term, doc_id, k)."""
     seen = detected.where("contexts is not null").select("doc_id", "k", F.inline("contexts"))
     near = seen.select("value", F.xxhash64("context").alias("c"), F.explode(words_of(F.col("context"))).alias("term"))
-    pairs = near.distinct().groupBy("value", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
-    pairs = materialise(pairs, "pairs")
+    pairs = near.distinct().groupBy("value", "term").agg(F.count("*").alias("support")).where(F.col("support") >= support)
+    pairs = materialise(pairs.select("value", "term"), "pairs")
     candidates = maybe_broadcast(pairs.select("term").distinct())
     held = docs.select("doc_id", text_of().alias("x")).select("doc_id", F.xxhash64("x").alias("k"), F.explode(words_of(F.col("x"))).alias("term"))
     held = materialise(held.join(candidates, "term", "left_semi").distinct(), "occurrences")
-    n = max(1, detected.select("k").count())
+    n = max(1, detected.select("doc_id", "k").distinct().count())
+    valued = materialise(seen.select("value", "doc_id", "k").distinct(), "valued")
     of_term = held.groupBy("term").agg(F.count("*").alias("n_term"))
-    of_value = seen.select("value", "doc_id", "k").distinct().groupBy("value").agg(F.count("*").alias("n_value"))
-    scored = pairs.join(of_term, "term").join(of_value, "value")
+    of_value = valued.groupBy("value").agg(F.count("*").alias("n_value"))
     ic = -F.log2(F.col("n_value") / n)
-    both = F.least("n_both", "n_value", "n_term")
-    pmi = F.log2(both * F.lit(float(n)) / (F.col("n_value") * F.col("n_term")))
-    told = scored.where(ic > 0).groupBy("term").agg(F.max(pmi / ic).alias("share")).where(F.col("share") >= share)
+    # No pair has more documents in common than the rarer of its two has
+    most = F.log2(F.lit(float(n)) / F.greatest("n_value", "n_term"))
+    able = pairs.join(of_term, "term").join(of_value, "value").where((ic > 0) & (most >= share * ic - 1e-9))
+    able = materialise(able, "able")
+    left = valued.join(maybe_broadcast(able.select("value").distinct()), "value", "left_semi").withColumnsRenamed({"doc_id": "id", "k": "key"})
+    right = held.join(maybe_broadcast(able.select("term").distinct()), "term", "left_semi")
+    both = left.join(right, F.col("k").eqNullSafe(F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id")))
+    both = both.join(maybe_broadcast(able.select("value", "term")), ["value", "term"], "left_semi").groupBy("value", "term").agg(F.count("*").alias("n_both"))
+    pmi = F.log2(F.col("n_both") * F.lit(float(n)) / (F.col("n_value") * F.col("n_term")))
+    told = able.join(both, ["value", "term"]).groupBy("term").agg(F.max(pmi / ic).alias("share")).where(F.col("share") >= share)
     return told, held
 
 

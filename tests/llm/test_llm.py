@@ -139,6 +139,16 @@ def test_disclosing_terms_are_found_and_replaced(spark, empty):
     assert pii.sanitise_documents(empty).columns == empty.columns and pii.report(pii.find_spans(empty)).count() == 0
 
 
+def test_disclosing_terms_in_groups_of_copies(spark):
+    # Three contexts, each in 30 copies; the term stands within the window in each, far from the value in some more
+    texts = [f"{prose(20)} zaphod wrote x@corp.org {prose(20)}" for _ in range(3)] + [f"zaphod {prose(60)} x@corp.org {prose(20)}" for _ in range(5)]
+    rows = [(None if i == 0 else i, texts[i % 8]) for i in range(240)] + [(1, texts[1])] * 5 + [(1000 + i, prose(60)) for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    told, _ = pii.disclosing_terms(df, pii.detect(df))
+    assert {r["term"]: round(r["share"], 9) for r in told.collect()}["zaphod"] == 1
+    assert not [t for t in pii.sanitise_documents(df).collect() if "zaphod" in t["text"]]
+
+
 def brute_windows(items, rows):
     word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
     windows = {}
