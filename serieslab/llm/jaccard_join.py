@@ -284,7 +284,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, n
 
 
 def linked_classes(docs: DataFrame, words: int = WORDS, num: int = 75, den: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows: doc_id, n, h), (classes: h, rep, copies, n, sketch) and (edges a, b of similar classes that span them)."""
+    """(rows: doc_id, n, h), (classes: h, rep, least, copies, n, sketch) and (edges a, b of similar classes that span them)."""
     source = docs.select("doc_id", text_of().alias("x")).withColumn("k", F.xxhash64("x"))
     size = source.agg(F.sum(F.octet_length("x"))).first()[0] or 0
     groups = max(1, math.ceil(size / TEXT_PER_GROUP))
@@ -303,7 +303,7 @@ def linked_classes(docs: DataFrame, words: int = WORDS, num: int = 75, den: int
     found = materialise(mapped.groupBy("p").applyInArrow(size_blocks, sized), "blocks")
 
     rows = found.where("kind = 0 and hot is null").select("doc_id", "n", "h", "k", "sketch")
-    classes = rows.where("n > 0").groupBy("h").agg(F.min(F.struct("doc_id", "k")).alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
+    classes = rows.where("n > 0").groupBy("h").agg(F.min(F.struct("doc_id", "k")).alias("rep"), F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
     classes = materialise(classes, "classes")
 
     common = maybe_broadcast(materialise(found.where("kind = 2").select("b", "size"), "common"))
@@ -383,7 +383,7 @@ def components(docs: DataFrame, words: int = WORDS, num: int = 75, den: int = 10
     """doc_id, n_shingles, component_id (the least doc_id that links reach) and k (hash of the text) of each row."""
     rows, classes, edges = linked_classes(docs, words, num, den)
     roots = connected_components(edges).withColumnRenamed("id", "h")
-    of_class = classes.select("h", F.col("rep.doc_id").alias("least"), "copies").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
+    of_class = classes.select("h", "least", "copies").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
     of_root = of_class.groupBy("root").agg(F.min("least").alias("component"), F.sum("copies").alias("members")).where("members > 1")
     told = materialise(of_class.join(of_root, "root").select("h", "component"), "components")
     small = maybe_broadcast(told)

@@ -278,6 +278,13 @@ def test_jaccard_join(spark, docs, empty, monkeypatch):
     assert jaccard_join.components(empty).count() == 0
 
 
+def test_null_ids_do_not_hide_the_least_id(spark):
+    a, b, c = prose(60), prose(60), prose(60)
+    rows = [(None, a), (8, a), (7, a), (None, b), (3, b), (5, b + " tail"), (None, c), (None, c), (9, c + " tail")]
+    got = jaccard_join.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    assert sorted((r["component_id"], r["doc_id"] or 0) for r in got) == [(3, 0), (3, 3), (3, 5), (7, 0), (7, 7), (7, 8), (9, 0), (9, 0), (9, 9)]
+
+
 def test_sketch_bounds_the_difference():
     a, b = jaccard_join.shingles(NEAR), jaccard_join.shingles(NEAR + " some more words here")
     x, y = jaccard_join.fold(jaccard_join.sketch(a), 32), jaccard_join.fold(jaccard_join.sketch(b), 32)
