@@ -380,12 +380,15 @@ def _near(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame
 
 
 def components(docs: DataFrame, words: int = WORDS, num: int = 75, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id that links reach) and k (hash of the text) of each row."""
+    """doc_id, n_shingles, component_id (the least doc_id that links reach), k (hash of the text) and root of each row.
+
+    The root is one number a component, whatever the ids of its rows; it is null where the set is empty.
+    """
     rows, classes, edges = linked_classes(docs, words, num, den)
     roots = connected_components(edges).withColumnRenamed("id", "h")
     of_class = classes.select("h", "least", "copies").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
     of_root = of_class.groupBy("root").agg(F.min("least").alias("component"), F.sum("copies").alias("members")).where("members > 1")
-    told = materialise(of_class.join(of_root, "root").select("h", "component"), "components")
+    told = materialise(of_class.join(of_root, "root").select("h", "component", "root"), "components")
     small = maybe_broadcast(told)
     own = rows.select("doc_id", "n", "h", "k")
     if small is not told:
@@ -394,4 +397,4 @@ def components(docs: DataFrame, words: int = WORDS, num: int = 75, den: int = 10
         salted = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         both = own.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["h", "salt"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return both.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "k")
+    return both.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "k", F.when(F.col("n") > 0, F.coalesce("root", "h")).alias("root"))

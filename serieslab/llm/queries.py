@@ -46,7 +46,7 @@ def op7_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.components(_table(spark, sf_dir, "documents")).drop("k")
+    return jaccard_join.components(_table(spark, sf_dir, "documents")).drop("k", "root")
 
 
 def op9_p_stable_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -372,3 +372,15 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     assert left.keys() == {*range(60), 103, 104}
     assert "[EMAIL]" in left[104] and all(left[i] == t for i, t in clean)
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == left.keys()
+
+
+def test_near_duplicates_leave_one_row_a_component(spark):
+    import corpus_pipeline
+
+    a, b, c, d, e, f = (prose(60 + i) for i in range(6))
+    rows = [(5, a), (5, b), (None, c), (None, c), (None, c + " tail"), (9, d), (9, d), (None, e), (1, e), (2, e + " tail"), (7, f), (7, f + " tail"), (3, ""), (3, ""), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, df, "").collect()]
+    assert sorted(x for x in left if x[0] not in (None, 7)) == sorted([(5, a), (5, b), (9, d), (1, e), (3, ""), (4, "")])
+    assert [x in ((None, c), (None, c + " tail"), (7, f), (7, f + " tail")) for x in left if x[0] in (None, 7)] == [True, True]
+    assert {x[0] for x in left} == {1, 3, 4, 5, 7, 9, None}
