@@ -4,10 +4,13 @@ The template writes a turn as <turn NUMBER ROLE>TEXT</turn>, a repeated one as <
 roles and texts & becomes &amp;, < becomes &lt; and > becomes &gt;, so no text can forge a mark, and all are undone on
 reading.
 
-Prefix sums of turn tokens choose the windows: turns whose sum of tokens before them falls into the same cell of half
-the budget form one, hence a window never exceeds the budget unless one turn alone does; such a long turn stands by
-itself. Every window retains the system turn (a first turn with role system) and repeats up to `history` turns of the
-window before, if they fit; repeated turns are masked, so each assistant text is a target once.
+Every window retains the system turn (a first turn with role system), and a quarter of what it leaves of the budget is
+set aside for history. Prefix sums of turn tokens then choose the windows: turns whose sum of tokens before them falls
+into the same cell of half the rest form one; a turn longer than a cell stands by itself. A window repeats up to
+`history` turns of the window before, as far as they fit beside its own; repeated turns are masked, so each assistant
+text is a target once. Hence a window exceeds the budget only where one turn does not fit beside the system turn; that
+turn stands whole, without history. A system turn of more than half the budget is not retained: it is a turn like
+others, and so the first window alone has it.
 
 Edge cases: null text is empty; a null role is the empty role and never a target; turns with equal numbers are taken
 in the order of role and text, repeated rows each count; rows with a null conv_id form one conversation; an empty table
@@ -34,25 +37,29 @@ def windows(turns: DataFrame, budget: int = 1024, history: int = 2, per_token: i
     Tokens are estimated as UTF-8 bytes / per_token plus 4 for a turn's marks, so that even empty turns have a cost
     and the turns of one window are bounded.
     """
-    cell = budget // 2
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), text.alias("text"))
     rows = rows.withColumn("tokens", F.ceil(F.octet_length("text") / per_token).cast("long") + 4)
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("no", F.row_number().over(order) - 1).withColumn("long", F.col("tokens") > cell)
+    rows = rows.withColumn("no", F.row_number().over(order) - 1)
+    rows = rows.withColumn("system", (F.col("no") == 0) & (F.col("role") == "system") & (F.col("tokens") <= budget // 2))
+    whole = Window.partitionBy("conv_id")
+    # What the system turn leaves, and what the turns of a window cost on top of it
+    rows = rows.withColumn("room", budget - F.max(F.when(F.col("system"), F.col("tokens")).otherwise(0)).over(whole)).withColumn("tokens", F.when(F.col("system"), 0).otherwise(F.col("tokens")))
+    rows = rows.withColumn("repeat", F.floor(F.col("room") / 4)).withColumn("size", F.greatest(F.floor((F.col("room") - F.col("repeat")) / 2), F.lit(1))).withColumn("long", F.col("tokens") > F.col("size"))
     # A long turn begins a stretch and the turn after it another
     rows = rows.withColumn("new", F.col("long") | F.coalesce(F.lag("long").over(order), F.lit(False))).withColumn("stretch", F.sum(F.col("new").cast("int")).over(upto))
     inside = Window.partitionBy("conv_id", "stretch").orderBy("no")
-    rows = rows.withColumn("before", F.sum("tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens")).withColumn("cell", F.floor(F.col("before") / cell))
+    rows = rows.withColumn("before", F.sum("tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens")).withColumn("cell", F.floor(F.col("before") / F.col("size")))
     turned = (F.col("stretch") != F.lag("stretch", 1, -1).over(order)) | (F.col("cell") != F.lag("cell", 1, -1).over(order))
     rows = rows.withColumn("window", F.sum(turned.cast("int")).over(upto) - 1)
     # Tokens from here to the window's end: what a next window would repeat
     tail = Window.partitionBy("conv_id", "window").orderBy(F.desc("no"))
     ends = F.sum("tokens").over(tail.rowsBetween(Window.unboundedPreceding, 0))
-    system = (F.col("no") == 0) & (F.col("role") == "system")
-    again = (F.row_number().over(tail) <= history) & (ends <= cell // 2) & ~system & (F.col("window") < F.max("window").over(Window.partitionBy("conv_id")))
-    rows = rows.withColumn("again", again).withColumn("system", system).withColumn("last", F.max("window").over(Window.partitionBy("conv_id")))
+    following = F.sum("tokens").over(whole.orderBy("window").rangeBetween(1, 1))
+    again = (F.row_number().over(tail) <= history) & (ends <= F.col("repeat")) & (ends <= F.col("room") - following) & ~F.col("system")
+    rows = rows.withColumn("again", F.coalesce(again, F.lit(False))).withColumn("last", F.max("window").over(whole))
     where = F.when(F.col("system"), F.sequence(F.lit(0).cast("long"), F.col("last"))).when(F.col("again"), F.array(F.col("window"), F.col("window") + 1)).otherwise(F.array(F.col("window")))
     placed = rows.withColumn("at", F.explode(where)).withColumn("seen", F.col("at") != F.col("window"))
 

@@ -351,6 +351,23 @@ def test_chat_round_trip(spark, budget):
     assert chat.digest(chat.windows(df.where("turn > 99"))).count() == 0
 
 
+def test_windows_stay_in_budget(spark):
+    turn = lambda c, i, role, tokens: (c, i, role, "x" * 4 * (tokens - 4))
+    sizes = random.Random(8)
+    rows = [turn(1, i, r, n) for i, (r, n) in enumerate([("system", 300), ("user", 400), ("assistant", 100), ("user", 100), ("assistant", 500), ("user", 512), ("assistant", 60)])]
+    rows += [turn(2, 0, "system", 600), *(turn(2, i, "user", 100) for i in range(1, 12)), turn(3, 0, "system", 200), turn(3, 1, "user", 50), turn(3, 2, "assistant", 900), turn(3, 3, "user", 50)]
+    rows += [turn(c, i, "system" if i == 0 else "user", sizes.randint(4, 500)) for c in range(10, 30) for i in range(40)]
+    wins = {}
+    for r in chat.read_back(chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect():
+        wins.setdefault((r["conv_id"], r["window"]), []).append((r["no"], r["seen"], len(r["text"]) // 4 + 4))
+    over = {w: sorted(x) for w, x in wins.items() if sum(n for *_, n in x) > 1024}
+    assert list(over.values()) == [[(0, True, 200), (2, False, 900)]]
+    # A system turn of more than half the budget stands in the first window alone, any other in all
+    assert {c for (c, w), x in wins.items() if not any(no == 0 for no, *_ in x)} == {2}
+    assert sum(not seen for x in wins.values() for _, seen, _ in x) == len(rows)
+    assert any(seen and no for x in wins.values() for no, seen, _ in x)
+
+
 def test_queries_are_registered():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()) == list(range(1, 11))
 
