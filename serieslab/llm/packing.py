@@ -193,10 +193,10 @@ def plan_bins(counts: np.ndarray, capacity: int) -> dict[str, np.ndarray]:
     return dict(zip(("length", "rank", "bin", "offset", "n"), table.T, strict=True)) | {"n_bins": np.array(n_bins)}
 
 
-def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer: str | None = None, salts: int = 64) -> DataFrame:
-    """token_pieces() with sequence_id and offset. Pieces of the full capacity get (negative) sequences of their own."""
+def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer: str | None = None, salts: int = 64, with_ids: bool = False) -> DataFrame:
+    """token_pieces() with sequence_id and offset, and the ids if asked for. Pieces of the full capacity get (negative) sequences of their own."""
     spark = docs.sparkSession
-    pieces = materialise(token_pieces(docs, capacity, end_id, tokenizer), "pieces")
+    pieces = materialise(token_pieces(docs, capacity, end_id, tokenizer, with_ids), "pieces")
     salted = pieces.where(F.col("length") < capacity).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))  # at most capacity x salts rows
     cells = sorted((r["length"], r["salt"], r["n"]) for r in sizes.toLocalIterator())
@@ -218,17 +218,16 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer: str
             at = np.searchsorted(key, length * (1 << 44) + rank, "right") - 1
             yield pa.record_batch([*(table[c] for c in names), pa.array(plan["bin"][at] + rank - plan["rank"][at]), pa.array(plan["offset"][at])], names=[*names, "sequence_id", "offset"])
 
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
     ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")).cast("long"))
     kind = dict(docs.dtypes)["doc_id"]
-    placed = ranked.select(*names, "salt", "rank").mapInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    placed = ranked.select(*names, "salt", "rank").mapInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, " + "ids array<long>, " * with_ids + "sequence_id long, offset long")
     full = pieces.where(F.col("length") == capacity).select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return placed.unionByName(full)
 
 
 def sequences(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer: str | None = None) -> DataFrame:
     """The packed sequences themselves: sequence_id, ids, doc_ids (one per token). A sequence is bounded by the capacity."""
-    where = materialise(pack(docs, capacity, end_id, tokenizer), "packed").dropDuplicates(["doc_id", "piece", "ids_crc32"])
-    ids = token_pieces(docs, capacity, end_id, tokenizer, with_ids=True).select("doc_id", "piece", "ids_crc32", "ids").dropDuplicates(["doc_id", "piece", "ids_crc32"])
+    placed = materialise(pack(docs, capacity, end_id, tokenizer, with_ids=True), "packed")  # ids travel with their piece: no key tells repeated rows apart
     part = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "ids")))
-    return where.join(ids, ["doc_id", "piece", "ids_crc32"]).groupBy("sequence_id").agg(part.alias("p")).select("sequence_id", F.flatten("p.ids").alias("ids"), F.flatten(F.transform("p", lambda x: F.array_repeat(x["doc_id"], F.size(x["ids"])))).alias("doc_ids"))
+    return placed.groupBy("sequence_id").agg(part.alias("p")).select("sequence_id", F.flatten("p.ids").alias("ids"), F.flatten(F.transform("p", lambda x: F.array_repeat(x["doc_id"], F.size(x["ids"])))).alias("doc_ids"))

@@ -105,7 +105,11 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 40, overhead: int = 16) -> D
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 40) -> None:
-    """Write doc_id and text as one Parquet folder a shard."""
-    at = shard_by_bytes(docs, n_shards).select("doc_id", "text_crc32", "shard").dropDuplicates(["doc_id", "text_crc32"])
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("text_crc32", F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8")))
-    rows.join(at, ["doc_id", "text_crc32"]).drop("text_crc32").write.partitionBy("shard").parquet(path)
+    """Write doc_id and text as one Parquet folder a shard. Rows of one id, CRC and size are numbered on both sides, so each is written once."""
+    key = ["doc_id", "text_crc32", "size"]
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))
+    at = shard_by_bytes(docs, n_shards).select(*key, "shard").withColumn("nth", nth).withColumnsRenamed({c: f"at_{c}" for c in (*key, "nth")})
+    x = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumns({"text_crc32": F.crc32(F.encode(x, "utf-8")), "size": (F.octet_length(x) + 16).cast("long")}).withColumn("nth", nth)
+    same = F.col("doc_id").eqNullSafe(F.col("at_doc_id")) & (F.col("text_crc32") == F.col("at_text_crc32")) & (F.col("size") == F.col("at_size")) & (F.col("nth") == F.col("at_nth"))
+    rows.join(at, same).select("doc_id", "text", "shard").write.partitionBy("shard").parquet(path)

@@ -80,6 +80,17 @@ def test_packed_sequences_hold_the_ids(docs):
     assert all(len(r["ids"]) == len(r["doc_ids"]) <= 64 for r in seqs)
 
 
+def test_sequences_and_shards_hold_every_row(spark, tmp_path):
+    rows = [(i % 7 if i % 3 else None, f"{i % 5} some words of text " * (1 + i % 4)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    packed, seqs = packing.pack(df, capacity=32).collect(), packing.sequences(df, capacity=32).collect()
+    owners = [(d, n) for r in seqs for d, n in zip(r["doc_ids"], r["ids"], strict=True)]
+    assert len(owners) == sum(r["length"] for r in packed) and all(len(r["ids"]) <= 32 for r in seqs)
+    assert sum(n == 2 for _, n in owners) == 60 and sum(n == 2 for d, n in owners if d is None) == 20
+    sharding.write_shards(df, f"{tmp_path}/shards", 4)
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in spark.read.parquet(f"{tmp_path}/shards").collect()) == sorted((i or -1, t) for i, t in rows)
+
+
 def test_plan_places_every_rank_once():
     counts = np.zeros(101, int)
     for s in np.random.default_rng(1).integers(1, 100, 5000):
