@@ -314,13 +314,14 @@ def fit_msvar(y: np.ndarray, max_iter: int = 100, tol: float = 1e-6) -> dict:
     return {"beta": beta, "sigma": sigma, "p": p, "smooth": np.vstack([smooth[:1], smooth]), "loglik": now, "iterations": it}
 
 
-def fit_ms_garch(y: np.ndarray, k: int = 2, max_iter: int = 15, tol: float = 1e-4, ar: int = 1) -> dict:
+def fit_ms_garch(y: np.ndarray, k: int = 2, max_iter: int = 50, tol: float = 1e-4, ar: int = 1) -> dict:
     """AR + GARCH(1,1) in each of k states, by EM: a weighted fit of each state's model, then the transition matrix."""
     h0 = fit_hmm(y, k)
     smooth, p, first, last = h0["smooth"], h0["p"], np.full(k, 1 / k), -np.inf
     x = np.column_stack([np.ones(len(y)), *(np.r_[np.full(i, y.mean()), y[:-i]] for i in range(1, ar + 1))])
     pars = [np.array([0.1 * y.var() * (0.5 + s), 0.08, 0.82]) for s in range(k)]
     log: list[tuple[int, float]] = []
+    converged = False
     for it in range(1, max_iter + 1):
         ll = np.empty((len(y), k))
         for s in range(k):
@@ -333,11 +334,12 @@ def fit_ms_garch(y: np.ndarray, k: int = 2, max_iter: int = 15, tol: float = 1e-
         smooth, joint, now = forward_backward(ll, p, first)
         p = joint / joint.sum(axis=1, keepdims=True)
         log.append((it, now))
-        if abs(now - last) < tol:
+        converged = bool(abs(now - last) < tol)
+        if converged:
             break
         last = now
     n_par = k * (3 + 1 + ar) + k * (k - 1)
-    return {"pars": pars, "p": p, "smooth": smooth, "path": smooth.argmax(axis=1), "loglik": now, "log": log, "aic": 2 * n_par - 2 * now, "bic": n_par * math.log(len(y)) - 2 * now}
+    return {"pars": pars, "p": p, "smooth": smooth, "path": smooth.argmax(axis=1), "loglik": now, "log": log, "converged": converged, "aic": 2 * n_par - 2 * now, "bic": n_par * math.log(len(y)) - 2 * now}
 
 
 # --- simulation and tests

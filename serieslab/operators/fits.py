@@ -62,7 +62,7 @@ def msvar(y: np.ndarray) -> dict[str, float]:
 
 def ms_garch(y: np.ndarray) -> dict[str, float]:
     f = models.fit_ms_garch(y[:, 0])
-    return {"loglik": f["loglik"], "aic": f["aic"], "bic": f["bic"], "p00": f["p"][0, 0], "p11": f["p"][1, 1], "iterations": float(len(f["log"]))}
+    return {"loglik": f["loglik"], "aic": f["aic"], "bic": f["bic"], "p00": f["p"][0, 0], "p11": f["p"][1, 1], "iterations": float(len(f["log"])), "converged": float(f["converged"])}
 
 
 def decode(series: DataFrame, cols: list[str], method: str = "hmm") -> DataFrame:

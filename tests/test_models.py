@@ -95,3 +95,10 @@ def test_copula_and_adcc_rows(spark):
     for fit, name in ((fits.copula_garch, "copula"), (fits.adcc, "adcc"), (fits.gogarch, "gogarch")):
         got = {r["name"]: r["value"] for r in fits.fit_each(df, ["x", "y"], fit, name).collect()}
         assert got
+
+
+def test_ms_garch_tells_whether_it_converged():
+    y = m.simulate_garch(120, 0.05, 0.1, 0.85, 1)
+    assert not m.fit_ms_garch(y, max_iter=1)["converged"]
+    assert m.fit_ms_garch(y, tol=1e9, max_iter=3)["converged"]
+    assert m.fit_ms_garch.__defaults__[1] == 50
