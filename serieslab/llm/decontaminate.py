@@ -105,8 +105,25 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFra
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, width: int = 10, slop: int = 2) -> DataFrame:
-    """doc_id, start, items: places where the rarest words of a window stand within slop words of their offsets."""
+    """doc_id, start, items: places where every word of a window stands within slop words of its offset.
+
+    Offsets count from the window's rarest word, which sets the start. A window of which a word is missing there, or
+    has moved further, is no match.
+    """
     windows = materialise(windows_of(items, width), "windows")
     vocabulary = materialise(windows.select(F.explode("words").alias("word")).distinct().withColumn("term", F.monotonically_increasing_id()), "vocabulary")
     index = materialise(build_index(docs, vocabulary), "postings")
-    return candidates(index, windows, vocabulary, slop).join(maybe_broadcast(windows), "w").select("doc_id", "start", "items").distinct()
+    found = materialise(candidates(index, windows, vocabulary, slop), "candidates")
+    listed = found.join(maybe_broadcast(windows), "w").select("doc_id", "k", "start", "words", "items").distinct()
+    listed = listed.groupBy("doc_id", "k").agg(F.collect_list(F.struct("start", "words", "items")).alias("c")).withColumnsRenamed({"doc_id": "id", "k": "key"})
+    texts = docs.select("doc_id", text_of().alias("x")).withColumn("k", F.xxhash64("x"))
+    both = texts.join(maybe_broadcast(listed), F.col("k").eqNullSafe(F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", words_of(F.col("x")).alias("ws"), "c")
+
+    def near(c: Column) -> Column:
+        def stands(o: Column) -> Column:
+            low = F.greatest(c["start"] + o - slop, F.lit(0))
+            return F.array_contains(F.slice(F.col("ws"), low + 1, F.greatest(c["start"] + o + slop + 1 - low, F.lit(0))), F.get(c["words"], o))
+
+        return F.forall(F.sequence(F.lit(0), F.size(c["words"]) - 1), stands)
+
+    return both.select("doc_id", F.explode(F.filter("c", near)).alias("c")).select("doc_id", "c.start", "c.items").distinct()

@@ -192,6 +192,15 @@ def test_proximity(spark):
     assert {r["doc_id"] for r in decontaminate.proximity_matches(docs, bench, slop=1).collect()} == {1}
 
 
+def test_proximity_holds_every_word(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    # The rarest words are the first three; the commoner ones stand in the last document as well
+    rows = [(1, " ".join(words)), (2, " ".join(words[:3] + ["x"] * 7)), (3, " ".join(words[:3] + ["x"] + words[3:])), (4, " ".join(words[:3] + ["x"] * 4 + words[3:])), (5, " ".join(words[3:] * 3))]
+    docs = spark.createDataFrame([*rows, (None, rows[0][1])], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    assert {r["doc_id"] for r in decontaminate.proximity_matches(docs, bench, slop=1).collect()} == {1, 3, None}
+
+
 def test_quality_learns_and_scores_everything(spark, docs, empty):
     good = [(i, prose(150)) for i in range(200)]
     bad = [(i, " | ".join(["buy"] * 60)) for i in range(200, 300)]
