@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import sys
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -12,24 +11,34 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a keyed side may be broadcast; each row is a key and a few numbers.
+#: Rows and bytes up to which a side may be broadcast.
 BROADCAST_ROWS = 400_000
+BROADCAST_BYTES = 32 << 20
+#: Bytes of an Arrow batch: what a task holds at a time on either side of a Python operator.
+BATCH_BYTES = 4 << 20
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that spark.checkpoint.dir names (a temporary one where it is unset, as in tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='serieslab-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+    """A new path in the shared folder that spark.checkpoint.dir names; where it is unset, in the warehouse, which executors share too."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
     return f"{base.rstrip('/')}/serieslab/{name}-{uuid.uuid4().hex}"
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Cut Arrow batches by bytes, not by rows alone: ten thousand long texts would fill a worker. A smaller setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: lineage ends there, so a lost executor recomputes nothing before it."""
+    bounded_batches(df.sparkSession)
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -44,8 +53,21 @@ def drop_scratch(spark: SparkSession) -> None:
 
 
 def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `limit` rows, else df as it is, to be joined by a shuffle. df should be cheap to count."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    """df with a broadcast hint if it has at most `limit` rows and BROADCAST_BYTES, else df as it is, to be joined by a shuffle.
+
+    df should be cheap to read twice. Columns of fixed width count 8 bytes, others by their length.
+    """
+
+    def width(field: T.StructField) -> Column:
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            return F.octet_length(field.name)
+        if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            return F.octet_length(F.to_json(F.struct(field.name)))
+        return F.lit(8)
+
+    each = sum((F.coalesce(width(f), F.lit(0)) for f in df.schema), F.lit(16))
+    rows, size = df.limit(limit + 1).agg(F.count("*"), F.coalesce(F.sum(each), F.lit(0))).first()
+    return F.broadcast(df) if rows <= limit and size <= BROADCAST_BYTES else df
 
 
 _memo: tuple[object, Any] = (None, None)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from serieslab.llm.common import materialise, trimming, worker_memo
 
 #: Space-led chunks that a worker remembers; as many again are kept from before the memo was last begun anew.
-MEMO = 300_000
+MEMO = 150_000
 #: A space as byte-level BPE writes it.
 SPACE = "\u0120"
 #: A Latin word and signs after it, then maybe a line end, a word and signs.

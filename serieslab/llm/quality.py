@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from serieslab.llm.common import trimming, worker_memo
+from serieslab.llm.common import bounded_batches, trimming, worker_memo
 
 PASSAGE = 64
 HASHED = 512
@@ -30,7 +30,7 @@ MAX_DOCS = 5000
 MAX_BYTES = 32 << 20
 HIDDEN, GATES = 32, 16
 THRESHOLD = 0.3
-MEMO = 400_000
+MEMO = 120_000  # words that a worker remembers
 
 
 class Words(dict):
@@ -163,6 +163,7 @@ def score_batch(model: dict, texts: pa.Array) -> np.ndarray:
 
 def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted of each row of docs."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = dict(docs.dtypes)["doc_id"]
 
@@ -176,6 +177,7 @@ def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFra
 
 def keep_good(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, with all columns, that the model does not reject."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
