@@ -38,12 +38,12 @@ from pyspark.sql import functions as F
 from serieslab.llm.common import connected_components, materialise, maybe_broadcast, text_of, trim, trimming, worker_memo
 
 WORDS = 5
-TEXT_PER_GROUP = 10 << 20  # bytes of text whose blocks one grouping task gets, about
-HOT = 256  # documents of one batch that share a block's value, from which on it travels as rows of its own
+TEXT_PER_GROUP = 4 << 20  # bytes of text whose blocks one grouping task gets, about
+HOT = 64  # documents of one batch that share a block's value, from which on it travels as rows of its own
 TILE = 512
 GROUP_ROWS = 20_000
-MEMO = 250_000
-SLICE = 16 << 20  # bytes of rows whose block values a task sorts at a time, about
+MEMO = 100_000
+SLICE = 2 << 20  # bytes of rows whose block values a task sorts at a time, about
 SALTS = 16
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -193,7 +193,8 @@ def _post(batches, groups: int, words: int, num: int, den: int, doc_type: pa.Dat
         if values:
             sizes = np.array([len(v) for v in values])
             owners, codes = np.array(owners, np.int64), np.array(codes, np.int32)
-            flat, at = np.concatenate(values), np.repeat(np.arange(len(sizes)), sizes)
+            flat, at = np.concatenate(values), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+            values.clear()
             order = np.argsort(flat, kind="stable")
             s = flat[order]
             starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
@@ -205,19 +206,19 @@ def _post(batches, groups: int, words: int, num: int, den: int, doc_type: pa.Dat
             hot_at = np.flatnonzero(~keep)
             hot_rows = {"b": flat[hot_at].view(np.int64), "h": owners[at[hot_at]], "code": codes[at[hot_at]]}
             flat, at = flat[keep], at[keep]
-            part = ((flat >> np.uint64(33)) % np.uint64(groups)).astype(np.int64)
-            mark_part = ((mark >> np.uint64(33)) % np.uint64(groups)).astype(np.int64)
+            part = ((flat >> np.uint64(33)) % np.uint64(groups)).astype(np.int32)
             order = np.argsort(part, kind="stable")
             flat, at, part = flat[order], at[order], part[order]
-            ends = np.searchsorted(part, np.arange(groups + 1))
-            for p in range(groups):
-                a, b = ends[p], ends[p + 1]
-                m = mark_part == p
-                if a == b and not m.any():
-                    continue
+            mark_part = ((mark >> np.uint64(33)) % np.uint64(groups)).astype(np.int32)
+            order = np.argsort(mark_part, kind="stable")
+            mark, marked, mark_part = mark[order], marked[order].astype(np.int64), mark_part[order]
+            present = np.union1d(part, mark_part)  # only the groups that this part has values of
+            from_, to = np.searchsorted(part, present), np.searchsorted(part, present, "right")
+            mark_from, mark_to = np.searchsorted(mark_part, present), np.searchsorted(mark_part, present, "right")
+            for p, a, b, c, d in zip(present.tolist(), from_.tolist(), to.tolist(), mark_from.tolist(), mark_to.tolist(), strict=True):
                 who = at[a:b]
                 first = np.flatnonzero(np.r_[True, who[1:] != who[:-1]]) if b > a else np.zeros(0, np.int64)
-                rows.append((p, None, None, None, None, None, flat[a:b].tobytes(), owners[who[first]].tobytes(), np.diff(np.r_[first, b - a]).astype(np.int32).tobytes(), codes[who[first]].tobytes(), mark[m].tobytes(), marked[m].astype(np.int64).tobytes(), None))
+                rows.append((p, None, None, None, None, None, flat[a:b].tobytes(), owners[who[first]].tobytes(), np.diff(np.r_[first, b - a]).astype(np.int32).tobytes(), codes[who[first]].tobytes(), mark[c:d].tobytes(), marked[c:d].tobytes(), None))
             for i in range(0, len(hot_at), 5000):
                 part_of = pd.DataFrame({c: x[i : i + 5000] for c, x in hot_rows.items()})
                 rows.append((-1 - (i // 5000) % groups, *[None] * 11, part_of.to_dict("records")))

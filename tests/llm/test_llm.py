@@ -290,7 +290,7 @@ def near_rows():
 
 def test_jaccard_join(spark, docs, empty, monkeypatch):
     rows = [(i, t) for i, t in enumerate([*near_rows(), *TEXTS[:20]])]
-    for hot in (256, 2):  # with 2, every shared block travels as a hot one
+    for hot in (64, 2):  # with 2, every shared block travels as a hot one
         monkeypatch.setattr(jaccard_join, "HOT", hot)
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()}
         assert got == brute_components(rows)
