@@ -1,23 +1,31 @@
 """Personal data, and the terms near it that give it away.
 
-Base spans are e-mail addresses, IP addresses, card and phone numbers. Information-theoretic sanitisation adds terms:
-the corpus tells how often a word stands near a protected value and how often it occurs at all, so the pointwise mutual
-information PMI(value; term) can be held against the value's own information IC(value). A term with PMI >= share x IC
-discloses the value even where the value itself is gone, and is generalised to a placeholder as well.
-
-Probabilities are over the corpus's documents (distinct pairs of doc_id and text): those that hold the value, those
-that hold the term, and those that hold both, however far apart. A pair is a candidate only if enough distinct contexts
-of the value hold the term, so a passage that thousands of copies repeat is one context. Pairs that would fall short
-even if the rarer of the two never stood without the other are dropped before documents are intersected. Everything is
-DataFrame functions; counts are pre-aggregated, and the terms are broadcast only after a count of their rows.
-
-Edge cases: null text is empty and has no spans; repeated rows each get their row and count as one document; an empty
-table gives an empty result; columns other than doc_id and text are not read. Offsets are code points, end exclusive.
-The patterns use possessive forms that match the same strings as the plain ones in linear time and constant stack.
+Base spans are e-mail addresses, IP addresses, card and phone numbers. Information-theoretic sanitisation adds two
+kinds of spans:
+
+* terms: the corpus tells how often a word stands near a protected value and how often it occurs at all, so the
+  pointwise mutual information PMI(value; term) can be held against the value's own information IC(value). A term with
+  PMI >= share x IC discloses the value even where the value itself is gone, and is generalised to a placeholder.
+* secrets: a key-like string discloses by itself. Runs of ASCII letters and digits that hold both have an information
+  of their length x log2(36) bits under even odds; from SECRET_BITS on (20 characters) they are spans.
+
+Probabilities are over the corpus's rows: those that hold the value, those that hold the term, and those that hold
+both, however far apart. A pair is a candidate only if enough distinct contexts of the value hold the term, so a
+passage that thousands of copies repeat is one context. Words are counted by one pre-aggregation over all rows; pairs
+that would fall short even if the rarer of the two never stood without the other are dropped, and only the words of
+the remaining pairs are looked for in the rows. Everything is DataFrame functions, and what is broadcast has been
+measured.
+
+Edge cases: null text is empty and has no spans; repeated rows each get their row and count each; an empty table gives
+an empty result; columns other than doc_id and text are not read; of equal texts all rows get the same spans. Offsets
+are code points, end exclusive. The patterns use possessive forms that match the same strings as the plain ones in
+linear time and constant stack.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +37,7 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
+SECRET = r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])[A-Za-z0-9]{%d,}+(?![A-Za-z0-9])"
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 SPAN = "array<struct<start:int,end:int,x:string>>"
@@ -36,6 +45,9 @@ CONTEXT = 80  # code points on either side of a value in which terms are taken
 SUPPORT = 3  # distinct contexts of a value that must hold the term
 SHARE = 0.95  # of the value's information that a term has to give away
 MIN_TERM = 4  # letters
+SECRET_BITS = 100  # of information from which on a key-like string is a span of its own
+#: Kinds that the method adds to the base ones.
+ADDED = ("secret", "term")
 
 
 def find_all(text: Column, pattern: Column | str, needed: Column) -> Column:
@@ -73,10 +85,24 @@ def words_of(text: Column) -> Column:
     return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+")), lambda w: F.char_length(w) >= MIN_TERM)
 
 
+def secret_spans(text: Column, bits: float = SECRET_BITS) -> Column:
+    pattern = SECRET % math.ceil(bits / math.log2(36))
+    return find_all(text, pattern, text.rlike(pattern))
+
+
+def bare(spans: Column) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["start"], s["end"]))
+
+
+def free_of(spans: Column, *taken: str) -> Column:
+    """The spans that overlap none of the taken kinds' spans."""
+    return F.filter(spans, lambda s: ~F.exists(F.concat(*taken), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+
+
 def detect(docs: DataFrame) -> DataFrame:
-    """doc_id, k (hash of the text) and the four arrays of base spans, with the contexts around them."""
+    """doc_id, k (hash of the text) and the arrays of base spans and secrets, with the contexts around the base spans."""
     rows = docs.select("doc_id", text_of().alias("x")).withColumn("k", F.xxhash64("x"))
-    rows = rows.select("doc_id", "k", "x", *(c.alias(kind) for kind, c in base_spans(F.col("x")).items()))
+    rows = rows.select("doc_id", "k", "x", *(c.alias(kind) for kind, c in base_spans(F.col("x")).items()), secret_spans(F.col("x")).alias("secret"))
 
     def around(kind: str) -> Column:
         def one(s: Column) -> Column:
@@ -89,38 +115,44 @@ def detect(docs: DataFrame) -> DataFrame:
         return F.transform(kind, one)
 
     contexts = F.when(sum((F.size(k) for k in KINDS), F.lit(0)) > 0, F.concat(*(around(k) for k in KINDS)))
-    return rows.select("doc_id", "k", *(F.transform(k, lambda s: F.struct(s["start"], s["end"])).alias(k) for k in KINDS), contexts.alias("contexts"))
+    return rows.select("doc_id", "k", *(bare(F.col(k)).alias(k) for k in KINDS), bare(free_of(F.col("secret"), *KINDS)).alias("secret"), contexts.alias("contexts"))
+
+
+def words_in(docs: DataFrame) -> DataFrame:
+    """doc_id, k and term for each distinct word of each row."""
+    return docs.select("doc_id", text_of().alias("x")).select("doc_id", F.xxhash64("x").alias("k"), F.explode(words_of(F.col("x"))).alias("term"))
 
 
 def disclosing_terms(docs: DataFrame, detected: DataFrame, share: float = SHARE, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
-    """(terms that disclose a value: term, share) and (every candidate term's documents: term, doc_id, k)."""
+    """(terms that disclose a value: term, share) and (the rows of the terms that might: term, doc_id, k)."""
     seen = detected.where("contexts is not null").select("doc_id", "k", F.inline("contexts"))
     near = seen.select("value", F.xxhash64("context").alias("c"), F.explode(words_of(F.col("context"))).alias("term"))
     pairs = near.distinct().groupBy("value", "term").agg(F.count("*").alias("support")).where(F.col("support") >= support)
     pairs = materialise(pairs.select("value", "term"), "pairs")
-    candidates = maybe_broadcast(pairs.select("term").distinct())
-    held = docs.select("doc_id", text_of().alias("x")).select("doc_id", F.xxhash64("x").alias("k"), F.explode(words_of(F.col("x"))).alias("term"))
-    held = materialise(held.join(candidates, "term", "left_semi").distinct(), "occurrences")
-    n = max(1, detected.select("doc_id", "k").distinct().count())
-    valued = materialise(seen.select("value", "doc_id", "k").distinct(), "valued")
-    of_term = held.groupBy("term").agg(F.count("*").alias("n_term"))
-    of_value = valued.groupBy("value").agg(F.count("*").alias("n_value"))
+    n = max(1, detected.count())
+    # m rows share an id and a text; a value counts once in each
+    each = detected.where("contexts is not null").groupBy("doc_id", "k").agg(F.count("*").alias("m"), F.first("contexts").alias("contexts"))
+    valued = materialise(each.select("doc_id", "k", "m", F.explode(F.array_distinct(F.transform("contexts", lambda c: c["value"]))).alias("value")), "valued")
+    of_value = valued.groupBy("value").agg(F.sum("m").alias("n_value"))
+    of_term = words_in(docs).groupBy("term").agg(F.count("*").alias("n_term"))
     ic = -F.log2(F.col("n_value") / n)
-    # No pair has more documents in common than the rarer of its two has
+    # No pair has more rows in common than the rarer of its two has
     most = F.log2(F.lit(float(n)) / F.greatest("n_value", "n_term"))
-    able = pairs.join(of_term, "term").join(of_value, "value").where((ic > 0) & (most >= share * ic - 1e-9))
+    able = pairs.join(of_value, "value").where(ic > 0).join(of_term, "term").where(most >= share * ic - 1e-9)
     able = materialise(able, "able")
-    left = valued.join(maybe_broadcast(able.select("value").distinct()), "value", "left_semi").withColumnsRenamed({"doc_id": "id", "k": "key"})
-    right = held.join(maybe_broadcast(able.select("term").distinct()), "term", "left_semi")
-    both = left.join(right, F.col("k").eqNullSafe(F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id")))
-    both = both.join(maybe_broadcast(able.select("value", "term")), ["value", "term"], "left_semi").groupBy("value", "term").agg(F.count("*").alias("n_both"))
+    terms = maybe_broadcast(materialise(able.select("term").distinct(), "able-terms"))
+    held = materialise(words_in(docs).join(terms, "term", "left_semi").distinct(), "occurrences")
+    values = maybe_broadcast(materialise(able.select("value").distinct(), "able-values"))
+    left = valued.join(values, "value", "left_semi").withColumnsRenamed({"doc_id": "id", "k": "key"})
+    both = left.join(held, F.col("k").eqNullSafe(F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id")))
+    both = both.join(maybe_broadcast(able.select("value", "term")), ["value", "term"], "left_semi").groupBy("value", "term").agg(F.sum("m").alias("n_both"))
     pmi = F.log2(F.col("n_both") * F.lit(float(n)) / (F.col("n_value") * F.col("n_term")))
     told = able.join(both, ["value", "term"]).groupBy("term").agg(F.max(pmi / ic).alias("share")).where(F.col("share") >= share)
-    return told, held
+    return materialise(told, "told"), held
 
 
 def find_spans(docs: DataFrame, share: float = SHARE, support: int = SUPPORT) -> DataFrame:
-    """doc_id, k and arrays of (start, end) for each kind and for the disclosing terms ("term") of each row."""
+    """doc_id, k and arrays of (start, end) for each kind, for secrets and for the disclosing terms ("term") of each row."""
     detected = materialise(detect(docs), "detected")
     told, held = disclosing_terms(docs, detected, share, support)
     hit = held.join(maybe_broadcast(told), "term").groupBy("doc_id", "k").agg(F.array_sort(F.collect_set("term")).alias("terms"))
@@ -128,19 +160,19 @@ def find_spans(docs: DataFrame, share: float = SHARE, support: int = SUPPORT) ->
     same = F.col("k").eqNullSafe(F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id"))
     rows = docs.select("doc_id", text_of().alias("x")).withColumn("k", F.xxhash64("x")).join(maybe_broadcast(hit), same)
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
-    terms = rows.select("id", "key", F.transform(find_all(F.col("x"), pattern, F.lit(True)), lambda s: F.struct(s["start"], s["end"])).alias("term")).dropDuplicates(["id", "key"])
+    terms = rows.select("id", "key", bare(find_all(F.col("x"), pattern, F.lit(True))).alias("term")).dropDuplicates(["id", "key"])
     spans = detected.drop("contexts").join(maybe_broadcast(materialise(terms, "terms")), same, "left").drop("id", "key")
-    free = lambda s: ~F.exists(F.concat(*KINDS), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    term = F.filter(F.coalesce("term", F.array().cast("array<struct<start:int,end:int>>")), free)
-    return spans.withColumn("term", term)
+    found = F.coalesce("term", F.array().cast("array<struct<start:int,end:int>>"))
+    return spans.withColumn("term", free_of(found, *KINDS, "secret"))
 
 
 def report(spans: DataFrame) -> DataFrame:
-    """The digest: counts, the hash of the base spans and the string of all spans."""
+    """The digest: counts, the hash of the base spans and the string of all spans; found says whether there is any."""
     said = lambda kind: F.transform(kind, lambda s: F.concat(F.lit(f"{kind}:"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string")))
     base = F.concat(*(said(k) for k in KINDS))
-    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
-    return spans.select("doc_id", *counts, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(F.concat(base, said("term")), ",").alias("spans"), F.size("term").cast("long").alias("n_term"))
+    every = F.concat(base, *(said(k) for k in ADDED))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in (*KINDS, *ADDED)]
+    return spans.select("doc_id", *counts, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(every, ",").alias("spans"), (F.size(every) > 0).alias("found"))
 
 
 def sanitise(text: Column, spans: Column) -> Column:
@@ -161,10 +193,10 @@ def sanitise(text: Column, spans: Column) -> Column:
 
 
 def sanitise_documents(docs: DataFrame, share: float = SHARE, support: int = SUPPORT) -> DataFrame:
-    """docs, all columns and rows, with personal data and disclosing terms in text replaced by placeholders."""
+    """docs, all columns and rows, with personal data, secrets and disclosing terms in text replaced by placeholders."""
     spans = find_spans(docs, share, support)
     kinded = lambda kind: F.transform(kind, lambda s: F.struct(s["start"], s["end"], F.lit(kind).alias("kind")))
-    listed = F.concat(*(kinded(k) for k in (*KINDS, "term")))
+    listed = F.concat(*(kinded(k) for k in (*KINDS, *ADDED)))
     found = spans.select(F.col("doc_id").alias("__id"), F.col("k").alias("__key"), listed.alias("__spans")).where(F.size("__spans") > 0).dropDuplicates(["__id", "__key"])
     found = maybe_broadcast(materialise(found, "found"), 100_000)
     same = F.xxhash64(text_of()).eqNullSafe(F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id"))
