@@ -1,17 +1,22 @@
 """Token counts without materialising ids.
 
-Pieces are counted once for each distinct pre-token of the corpus (the chunks between spaces; the tokenizer drops
-white space, and neither its normaliser nor its splits look across a space), then joined to each document's pre-token
-frequencies and summed. The `head` most frequent pre-tokens go to every worker as a table of that bounded size; the
-rest are joined by a shuffle, so no vocabulary is ever held whole in one place.
+Pieces are counted once for each distinct pre-token of the corpus, as the tokenizer file's own normaliser and
+pre-tokenizer cut them, then joined to each document's pre-token frequencies and summed. The `head` most frequent
+pre-tokens go to every worker as a table of that bounded size; the rest are joined by a shuffle, so no vocabulary is
+ever held whole in one place.
 
-Edge cases: null text counts as empty (0 bytes, 0 tokens); repeated rows each get their row; an empty table gives an
-empty result; columns other than doc_id and text are not read.
+Texts are cut at spaces first: the normaliser turns white space into spaces and no pre-token of the file holds one, so
+a chunk between spaces has the pre-tokens that it has in the text, and each distinct chunk of a batch is cut once.
+
+Edge cases: null text counts as empty (0 bytes, 0 tokens); special strings inside texts are one token each, as the
+library has it by default; repeated rows each get their row; an empty table gives an empty result; columns other than
+doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections import Counter
 from functools import lru_cache
 
@@ -19,76 +24,119 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from serieslab.llm.common import materialise
+from serieslab.llm.common import bounded_batches, materialise, trimming, worker_memo
+
+#: Distinct chunks of white-space-free text after which a task hands on the counts it has.
+FLUSH = 200_000
+#: Chunks whose pre-tokens a worker remembers.
+MEMO = 100_000
+
+
+class Splitter(dict):
+    """Chunk of text without spaces -> its pre-tokens, written in the byte characters of byte-level BPE.
+
+    Special strings stay whole; they have a "<|" and letters side by side, which no other pre-token does.
+    """
 
-#: Distinct pre-tokens after which a task hands on the counts it has.
-FLUSH = 300_000
+    def __init__(self, path: str | None):
+        super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
+        from tokenizers import Tokenizer
 
+        self.tok = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
+        self.special = {t.content for t in self.tok.get_added_tokens_decoder().values()}
+        self.at_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
+        self.normalise, self.cut = self.tok.normalizer.normalize_str, self.tok.pre_tokenizer.pre_tokenize_str
+        # ASCII letters alone are one pre-token whatever the rules for signs; the file's first rules say so
+        self.plain = re.compile("[A-Za-z]+").fullmatch
 
-@lru_cache(2)
-def _tokenizer(path: str | None):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    import public_tokenizers
-    from tokenizers import Tokenizer
+    def __missing__(self, chunk: str) -> tuple[str, ...]:
+        if self.plain(chunk):
+            found: tuple[str, ...] = (chunk.lower(),)
+        elif self.at_special.search(chunk):
+            parts = self.at_special.split(chunk)
+            marks = self.at_special.findall(chunk)
+            found = tuple(p for part, mark in zip(parts, [*marks, None], strict=True) for p in (*self._pre(part), *([mark] if mark else [])))
+        else:
+            found = self._pre(chunk)
+        if len(self) >= MEMO:
+            self.clear()
+        self[chunk] = found
+        return found
 
-    return Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
+    def _pre(self, text: str) -> tuple[str, ...]:
+        return tuple(p for p, _ in self.cut(self.normalise(text))) if text else ()
+
+    def pieces(self, pre: str) -> int:
+        return 1 if pre in self.special else len(self.tok.model.tokenize(pre))
+
+
+def _splitter(path: str | None) -> Splitter:
+    return worker_memo(("pre-tokens", path), lambda: Splitter(path))
 
 
 def vocabulary(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """Every distinct pre-token, how often it occurs and how many pieces it has: (pre, n, pieces)."""
 
     def count(batches):
-        seen: Counter[str] = Counter()
-        out = lambda: pa.record_batch([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["pre", "n"])
+        cut = _splitter(tokenizer)
+        chunks: Counter[str] = Counter()
+
+        def out():
+            seen: Counter[str] = Counter()
+            for chunk, n in chunks.items():
+                for pre in cut[chunk]:
+                    seen[pre] += n
+            return pa.record_batch([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["pre", "n"])
+
         for batch in batches:
             for text in batch.column(0):
-                seen.update((text.as_py() or "").split(" "))
-                if len(seen) > FLUSH:
+                chunks.update((text.as_py() or "").split(" "))
+                if len(chunks) > FLUSH:
                     yield out()
-                    seen.clear()
+                    chunks.clear()
         yield out()
 
     def pieces(batches):
-        tok = _tokenizer(tokenizer)
+        cut = _splitter(tokenizer)
         for batch in batches:
-            pre = batch.column(0).to_pylist()
-            found: list[int] = []
-            for i in range(0, len(pre), 1000):
-                found += [len(e) for e in tok.encode_batch_fast(pre[i : i + 1000], add_special_tokens=False)]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found, pa.int64())], names=["pre", "n", "pieces"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([cut.pieces(p) for p in batch.column(0).to_pylist()], pa.int64())], names=["pre", "n", "pieces"])
 
-    merged = docs.select(F.col("text").cast("string")).mapInArrow(count, "pre string, n long").where("pre <> ''").groupBy("pre").agg(F.sum("n").alias("n"))
-    return merged.mapInArrow(pieces, "pre string, n long, pieces long")
+    merged = docs.select(F.col("text").cast("string")).mapInArrow(trimming(count), "pre string, n long").groupBy("pre").agg(F.sum("n").alias("n"))
+    return merged.mapInArrow(trimming(pieces), "pre string, n long, pieces long")
 
 
 def count_tokens(docs: DataFrame, limit: int = 2048, tokenizer: str | None = None, head: int = 100_000) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row of docs."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     vocab = materialise(vocabulary(docs, tokenizer), "vocabulary")
     common = {r["pre"]: r["pieces"] for r in vocab.orderBy(F.desc("n"), "pre").limit(head).select("pre", "pieces").toLocalIterator()}
     shared = spark.sparkContext.broadcast(common)
     kind = dict(docs.dtypes)["doc_id"]
 
     def split(batches):
-        known = shared.value
+        known, cut = shared.value, _splitter(tokenizer)
         rare = pa.list_(pa.struct([("pre", pa.string()), ("k", pa.int64())]))
         for batch in batches:
             sizes, sums, rest = [], [], []
             for text in batch.column(1):
                 text = text.as_py() or ""
                 sizes.append(len(text.encode()))
-                total, tail = 0, []
-                for pre, k in Counter(text.split(" ")).items():
-                    p = known.get(pre)
-                    if p is not None:
-                        total += p * k
-                    elif pre:
-                        tail.append({"pre": pre, "k": k})
+                total, tail = 0, Counter()
+                for chunk, k in Counter(text.split(" ")).items():
+                    for pre in cut[chunk]:
+                        p = known.get(pre)
+                        if p is not None:
+                            total += p * k
+                        else:
+                            tail[pre] += k
                 sums.append(total)
-                rest.append(tail)
+                rest.append([{"pre": pre, "k": k} for pre, k in tail.items()])
             yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(rest, rare)], names=["doc_id", "n_bytes", "head", "rare"])
 
-    rows = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(split, f"doc_id {kind}, n_bytes long, head long, rare array<struct<pre:string,k:long>>")
+    rows = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(trimming(split), f"doc_id {kind}, n_bytes long, head long, rare array<struct<pre:string,k:long>>")
     rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "frequencies")
     rare = rows.select("row", F.inline("rare")).join(vocab.select("pre", "pieces"), "pre").groupBy("row").agg(F.sum(F.col("k") * F.col("pieces")).alias("tail"))
     n = F.col("head") + F.coalesce("tail", F.lit(0))
