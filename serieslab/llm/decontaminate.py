@@ -42,7 +42,7 @@ def build_index(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """
     listed = docs.select("doc_id", text_of().alias("x")).select("doc_id", F.xxhash64("x").alias("k"), words_of(F.col("x")).alias("ws"))
     posted = listed.select("doc_id", "k", F.posexplode(F.concat("ws", F.array(F.lit("")))).alias("pos", "word"))
-    end = vocabulary.sparkSession.createDataFrame([("", -1)], "word string, term long")
+    end = vocabulary.sparkSession.sql("SELECT '' AS word, -1L AS term")
     return posted.join(maybe_broadcast(vocabulary.unionByName(end)), "word").select("term", "doc_id", "k", "pos")
 
 
@@ -70,13 +70,23 @@ def candidates(index: DataFrame, windows: DataFrame, vocabulary: DataFrame, slop
     return votes.where("votes % 2 = 1").join(need, "w").where("votes = shiftleft(1, need) - 1").select("doc_id", "k", "start", "w")
 
 
+def _with_texts(docs: DataFrame, found: DataFrame, windows: DataFrame) -> DataFrame:
+    """doc_id, k, text x and the candidates c (start, words, items) of each document that has any.
+
+    Only the documents' keys may be broadcast; their lists of windows, which may be long, meet them by a shuffle of
+    the texts that have candidates.
+    """
+    listed = found.join(maybe_broadcast(windows), "w").select("doc_id", "k", "start", "words", "items").distinct()
+    listed = listed.groupBy("doc_id", "k").agg(F.collect_list(F.struct("start", "words", "items")).alias("c")).withColumnsRenamed({"doc_id": "id", "k": "key"})
+    keys = maybe_broadcast(materialise(found.select(F.col("doc_id").alias("id"), F.col("k").alias("key")).distinct(), "keys"))
+    same = F.col("k").eqNullSafe(F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id"))
+    texts = docs.select("doc_id", text_of().alias("x")).withColumn("k", F.xxhash64("x")).join(keys, same, "left_semi")
+    return texts.join(listed, same).drop("id", "key")
+
+
 def exact_matches(docs: DataFrame, found: DataFrame, windows: DataFrame) -> DataFrame:
     """The candidates whose window stands in the document word for word: doc_id, k, hits (start, n), items of each document."""
-    listed = found.join(maybe_broadcast(windows), "w").select("doc_id", "k", "start", "words", "items").distinct()
-    listed = listed.groupBy("doc_id", "k").agg(F.collect_list(F.struct("start", "words", "items")).alias("c"))
-    listed = listed.withColumnsRenamed({"doc_id": "id", "k": "key"})
-    texts = docs.select("doc_id", text_of().alias("x")).withColumn("k", F.xxhash64("x"))
-    both = texts.join(maybe_broadcast(listed), F.col("k").eqNullSafe(F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "k", words_of(F.col("x")).alias("ws"), "c")
+    both = _with_texts(docs, found, windows).select("doc_id", "k", words_of(F.col("x")).alias("ws"), "c")
     holds = F.filter("c", lambda c: F.slice(F.col("ws"), c["start"] + 1, F.size(c["words"])) == c["words"])
     kept = both.select("doc_id", "k", holds.alias("c")).where(F.size("c") > 0)
     spans = F.array_sort(F.array_distinct(F.transform("c", lambda c: F.struct(c["start"].alias("start"), (c["start"] + F.size(c["words"])).alias("end")))))
@@ -114,10 +124,7 @@ def proximity_matches(docs: DataFrame, items: DataFrame, width: int = 10, slop:
     vocabulary = materialise(windows.select(F.explode("words").alias("word")).distinct().withColumn("term", F.monotonically_increasing_id()), "vocabulary")
     index = materialise(build_index(docs, vocabulary), "postings")
     found = materialise(candidates(index, windows, vocabulary, slop), "candidates")
-    listed = found.join(maybe_broadcast(windows), "w").select("doc_id", "k", "start", "words", "items").distinct()
-    listed = listed.groupBy("doc_id", "k").agg(F.collect_list(F.struct("start", "words", "items")).alias("c")).withColumnsRenamed({"doc_id": "id", "k": "key"})
-    texts = docs.select("doc_id", text_of().alias("x")).withColumn("k", F.xxhash64("x"))
-    both = texts.join(maybe_broadcast(listed), F.col("k").eqNullSafe(F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", words_of(F.col("x")).alias("ws"), "c")
+    both = _with_texts(docs, found, windows).select("doc_id", words_of(F.col("x")).alias("ws"), "c")
 
     def near(c: Column) -> Column:
         def stands(o: Column) -> Column:
