@@ -26,16 +26,21 @@ from pyspark.sql import functions as F
 
 from serieslab.llm.common import bounded_batches, materialise, trimming, worker_memo
 
-#: Distinct chunks of white-space-free text after which a task hands on the counts it has.
+#: Distinct chunks after which a task hands on the counts it has.
 FLUSH = 200_000
 #: Chunks whose pre-tokens a worker remembers.
-MEMO = 100_000
+MEMO = 150_000
+#: Letters that neither the normaliser nor the cut treat otherwise than re and str.lower do (NFC, one lower-case letter each).
+LETTERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e"
+SIGNS = re.escape("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'")
 
 
 class Splitter(dict):
     """Chunk of text without spaces -> its pre-tokens, written in the byte characters of byte-level BPE.
 
-    Special strings stay whole; they have a "<|" and letters side by side, which no other pre-token does.
+    Special strings stay whole; they have a "<|" and letters side by side, which no other pre-token does. Chunks of
+    Latin letters, digits, ASCII signs and line ends are cut by the file's own pattern here; the rest go through the
+    file's normaliser and pre-tokenizer.
     """
 
     def __init__(self, path: str | None):
@@ -48,15 +53,18 @@ class Splitter(dict):
         self.special = {t.content for t in self.tok.get_added_tokens_decoder().values()}
         self.at_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
         self.normalise, self.cut = self.tok.normalizer.normalize_str, self.tok.pre_tokenizer.pre_tokenize_str
-        # ASCII letters alone are one pre-token whatever the rules for signs; the file's first rules say so
-        self.plain = re.compile("[A-Za-z]+").fullmatch
+        self.word = re.compile(f"[{LETTERS}]+").fullmatch
+        self.plain = re.compile(f"[{LETTERS}{SIGNS}0-9\t\n\r\x0b\x0c]+").fullmatch
+        # The file's pattern, with the characters that plain chunks can have
+        self.parts = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[{SIGNS}]+").findall
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the bytes that byte-level BPE writes as themselves
+        self.bytes = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in plain)}
 
     def __missing__(self, chunk: str) -> tuple[str, ...]:
-        if self.plain(chunk):
-            found: tuple[str, ...] = (chunk.lower(),)
-        elif self.at_special.search(chunk):
-            parts = self.at_special.split(chunk)
-            marks = self.at_special.findall(chunk)
+        if self.word(chunk):
+            found = (self._chars(chunk.lower()),)
+        elif "<|" in chunk and self.at_special.search(chunk):
+            parts, marks = self.at_special.split(chunk), self.at_special.findall(chunk)
             found = tuple(p for part, mark in zip(parts, [*marks, None], strict=True) for p in (*self._pre(part), *([mark] if mark else [])))
         else:
             found = self._pre(chunk)
@@ -65,13 +73,35 @@ class Splitter(dict):
         self[chunk] = found
         return found
 
+    def _chars(self, pre: str) -> str:
+        return pre if pre.isascii() else pre.encode().decode("latin-1").translate(self.bytes)
+
     def _pre(self, text: str) -> tuple[str, ...]:
-        return tuple(p for p, _ in self.cut(self.normalise(text))) if text else ()
+        if not text:
+            return ()
+        if self.plain(text):
+            return tuple(map(self._chars, self.parts(text.lower())))
+        return tuple(p for p, _ in self.cut(self.normalise(text)))
 
     def pieces(self, pre: str) -> int:
         return 1 if pre in self.special else len(self.tok.model.tokenize(pre))
 
 
+class Known(dict):
+    """Chunk -> (pieces of its known pre-tokens, the others)."""
+
+    def __init__(self, cut: Splitter, known: dict[str, int]):
+        super().__init__()
+        self.cut, self.known = cut, known
+
+    def __missing__(self, chunk: str) -> tuple[int, tuple[str, ...]]:
+        pre = self.cut[chunk]
+        if len(self) >= MEMO:
+            self.clear()
+        told = self[chunk] = (sum(self.known.get(p, 0) for p in pre), tuple(p for p in pre if p not in self.known))
+        return told
+
+
 def _splitter(path: str | None) -> Splitter:
     return worker_memo(("pre-tokens", path), lambda: Splitter(path))
 
@@ -117,7 +147,7 @@ def count_tokens(docs: DataFrame, limit: int = 2048, tokenizer: str | None = Non
     kind = dict(docs.dtypes)["doc_id"]
 
     def split(batches):
-        known, cut = shared.value, _splitter(tokenizer)
+        known = Known(_splitter(tokenizer), shared.value)
         rare = pa.list_(pa.struct([("pre", pa.string()), ("k", pa.int64())]))
         for batch in batches:
             sizes, sums, rest = [], [], []
@@ -126,12 +156,10 @@ def count_tokens(docs: DataFrame, limit: int = 2048, tokenizer: str | None = Non
                 sizes.append(len(text.encode()))
                 total, tail = 0, Counter()
                 for chunk, k in Counter(text.split(" ")).items():
-                    for pre in cut[chunk]:
-                        p = known.get(pre)
-                        if p is not None:
-                            total += p * k
-                        else:
-                            tail[pre] += k
+                    pieces, others = known[chunk]
+                    total += pieces * k
+                    for pre in others:
+                        tail[pre] += k
                 sums.append(total)
                 rest.append([{"pre": pre, "k": k} for pre, k in tail.items()])
             yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(rest, rare)], names=["doc_id", "n_bytes", "head", "rare"])
