@@ -5,9 +5,6 @@ pre-tokenizer cut them, then joined to each document's pre-token frequencies and
 pre-tokens go to every worker as a table of that bounded size; the rest are joined by a shuffle, so no vocabulary is
 ever held whole in one place.
 
-Texts are cut at spaces first: the normaliser turns white space into spaces and no pre-token of the file holds one, so
-a chunk between spaces has the pre-tokens that it has in the text, and each distinct chunk of a batch is cut once.
-
 Edge cases: null text counts as empty (0 bytes, 0 tokens); special strings inside texts are one token each, as the
 library has it by default; repeated rows each get their row; an empty table gives an empty result; columns other than
 doc_id and text are not read.
@@ -26,80 +23,56 @@ from pyspark.sql import functions as F
 
 from serieslab.llm.common import bounded_batches, materialise, trimming, worker_memo
 
-#: Distinct chunks after which a task hands on the counts it has.
+#: Distinct pre-tokens after which a task hands on the counts it has.
 FLUSH = 200_000
-#: Chunks whose pre-tokens a worker remembers.
-MEMO = 150_000
 #: Letters that neither the normaliser nor the cut treat otherwise than re and str.lower do (NFC, one lower-case letter each).
 LETTERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e"
 SIGNS = re.escape("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'")
+PLAIN = f"{LETTERS}{SIGNS}0-9\t\n\r\x0b\x0c "
 
 
-class Splitter(dict):
-    """Chunk of text without spaces -> its pre-tokens, written in the byte characters of byte-level BPE.
+class Splitter:
+    """A text's pre-tokens, as the file's normaliser and pre-tokenizer cut it.
 
-    Special strings stay whole; they have a "<|" and letters side by side, which no other pre-token does. Chunks of
-    Latin letters, digits, ASCII signs and line ends are cut by the file's own pattern here; the rest go through the
-    file's normaliser and pre-tokenizer.
+    Latin letters, digits, ASCII signs and white space are cut by the file's own pattern here. Neither the normaliser
+    nor the cut looks across a space, so stretches between spaces that hold any other character go through the library
+    alone. Special strings are pre-tokens of their own; no other holds signs and letters side by side.
     """
 
     def __init__(self, path: str | None):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
         self.special = {t.content for t in self.tok.get_added_tokens_decoder().values()}
-        self.at_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
+        self.at_special = re.compile("(" + ("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or "(?!)") + ")")
         self.normalise, self.cut = self.tok.normalizer.normalize_str, self.tok.pre_tokenizer.pre_tokenize_str
-        self.word = re.compile(f"[{LETTERS}]+").fullmatch
-        self.plain = re.compile(f"[{LETTERS}{SIGNS}0-9\t\n\r\x0b\x0c]+").fullmatch
-        # The file's pattern, with the characters that plain chunks can have
+        self.odd = re.compile(f"[^ ]*[^{PLAIN}][^ ]*")
+        # The file's pattern, with the characters that plain text can have
         self.parts = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[{SIGNS}]+").findall
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the bytes that byte-level BPE writes as themselves
-        self.bytes = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in plain)}
-
-    def __missing__(self, chunk: str) -> tuple[str, ...]:
-        if self.word(chunk):
-            found = (self._chars(chunk.lower()),)
-        elif "<|" in chunk and self.at_special.search(chunk):
-            parts, marks = self.at_special.split(chunk), self.at_special.findall(chunk)
-            found = tuple(p for part, mark in zip(parts, [*marks, None], strict=True) for p in (*self._pre(part), *([mark] if mark else [])))
-        else:
-            found = self._pre(chunk)
-        if len(self) >= MEMO:
-            self.clear()
-        self[chunk] = found
-        return found
-
-    def _chars(self, pre: str) -> str:
-        return pre if pre.isascii() else pre.encode().decode("latin-1").translate(self.bytes)
-
-    def _pre(self, text: str) -> tuple[str, ...]:
-        if not text:
-            return ()
-        if self.plain(text):
-            return tuple(map(self._chars, self.parts(text.lower())))
-        return tuple(p for p, _ in self.cut(self.normalise(text)))
-
-    def pieces(self, pre: str) -> int:
-        return 1 if pre in self.special else len(self.tok.model.tokenize(pre))
+        chars = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in plain)}
+        self.chars = chars  # byte -> the character that stands for it, where that is another
+        self.byte = {chr(chars.get(b, b)): b for b in range(256)}
 
+    def __call__(self, text: str) -> list[str]:
+        if "<|" in text and self.at_special.search(text):
+            parts = self.at_special.split(text)
+            return [p for i, part in enumerate(parts) for p in ([part] if i % 2 else self.plain_cut(part))]
+        return self.plain_cut(text)
 
-class Known(dict):
-    """Chunk -> (pieces of its known pre-tokens, the others)."""
+    def plain_cut(self, text: str) -> list[str]:
+        if not self.odd.search(text):
+            return self.parts(text.lower())
+        found = [p for chunk in self.odd.findall(text) for p in self.library_cut(chunk)]
+        return found + self.parts(self.odd.sub(" ", text).lower())
 
-    def __init__(self, cut: Splitter, known: dict[str, int]):
-        super().__init__()
-        self.cut, self.known = cut, known
+    def library_cut(self, text: str) -> list[str]:
+        return [bytes(map(self.byte.__getitem__, p)).decode() for p, _ in self.cut(self.normalise(text))]
 
-    def __missing__(self, chunk: str) -> tuple[int, tuple[str, ...]]:
-        pre = self.cut[chunk]
-        if len(self) >= MEMO:
-            self.clear()
-        told = self[chunk] = (sum(self.known.get(p, 0) for p in pre), tuple(p for p in pre if p not in self.known))
-        return told
+    def pieces(self, pre: str) -> int:
+        return 1 if pre in self.special else len(self.tok.model.tokenize(pre if pre.isascii() and pre.isprintable() else pre.encode().decode("latin-1").translate(self.chars)))
 
 
 def _splitter(path: str | None) -> Splitter:
@@ -111,21 +84,14 @@ def vocabulary(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
     def count(batches):
         cut = _splitter(tokenizer)
-        chunks: Counter[str] = Counter()
-
-        def out():
-            seen: Counter[str] = Counter()
-            for chunk, n in chunks.items():
-                for pre in cut[chunk]:
-                    seen[pre] += n
-            return pa.record_batch([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["pre", "n"])
-
+        seen: Counter[str] = Counter()
+        out = lambda: pa.record_batch([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["pre", "n"])
         for batch in batches:
             for text in batch.column(0):
-                chunks.update((text.as_py() or "").split(" "))
-                if len(chunks) > FLUSH:
+                seen.update(cut(text.as_py() or ""))
+                if len(seen) > FLUSH:
                     yield out()
-                    chunks.clear()
+                    seen.clear()
         yield out()
 
     def pieces(batches):
@@ -147,21 +113,22 @@ def count_tokens(docs: DataFrame, limit: int = 2048, tokenizer: str | None = Non
     kind = dict(docs.dtypes)["doc_id"]
 
     def split(batches):
-        known = Known(_splitter(tokenizer), shared.value)
+        known, cut = shared.value, _splitter(tokenizer)
         rare = pa.list_(pa.struct([("pre", pa.string()), ("k", pa.int64())]))
         for batch in batches:
             sizes, sums, rest = [], [], []
             for text in batch.column(1):
                 text = text.as_py() or ""
                 sizes.append(len(text.encode()))
-                total, tail = 0, Counter()
-                for chunk, k in Counter(text.split(" ")).items():
-                    pieces, others = known[chunk]
-                    total += pieces * k
-                    for pre in others:
-                        tail[pre] += k
+                total, tail = 0, []
+                for pre, k in Counter(cut(text)).items():
+                    p = known.get(pre)
+                    if p is None:
+                        tail.append({"pre": pre, "k": k})
+                    else:
+                        total += p * k
                 sums.append(total)
-                rest.append([{"pre": pre, "k": k} for pre, k in tail.items()])
+                rest.append(tail)
             yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(rest, rare)], names=["doc_id", "n_bytes", "head", "rare"])
 
     rows = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(trimming(split), f"doc_id {kind}, n_bytes long, head long, rare array<struct<pre:string,k:long>>")
