@@ -101,6 +101,17 @@ def trimming(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterat
     return run_and_trim
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like those given that no column of df has (Spark does not tell case apart)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -25,11 +25,12 @@ linear time and constant stack.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from serieslab.llm.common import materialise, maybe_broadcast, text_of
+from serieslab.llm.common import fresh, materialise, maybe_broadcast, text_of
 
 # What counts as personal data, by kind, in the order of the report.
 KINDS = ("email", "ip", "card", "phone")
@@ -40,6 +41,7 @@ PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 SECRET = r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])[A-Za-z0-9]{%d,}+(?![A-Za-z0-9])"
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
+CHUNK = 256  # matches whose places are summed in one go
 SPAN = "array<struct<start:int,end:int,x:string>>"
 CONTEXT = 80  # code points on either side of a value in which terms are taken
 SUPPORT = 3  # distinct contexts of a value that must hold the term
@@ -50,10 +52,19 @@ SECRET_BITS = 100  # of information from which on a key-like string is a span of
 ADDED = ("secret", "term")
 
 
+def let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """body(x) with x computed once, however often body names it."""
+    return F.transform(F.array(x), body)[0]
+
+
 def find_all(text: Column, pattern: Column | str, needed: Column) -> Column:
-    """(start, end, x) of every match: the gaps between matches and the matches' lengths, summed up."""
+    """(start, end, x) of every match: the gaps between matches and the matches' lengths, summed up.
+
+    Sums run in chunks of CHUNK matches, so that a text of very many matches is not copied once a match.
+    """
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     found = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("x"))
+    length = lambda z: F.char_length(z["gap"]) + F.coalesce(F.char_length(z["x"]), F.lit(0))
 
     def step(acc: Column, z: Column) -> Column:
         start = acc["at"] + F.char_length(z["gap"])
@@ -61,8 +72,15 @@ def find_all(text: Column, pattern: Column | str, needed: Column) -> Column:
         out = F.when(z["x"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), z["x"].alias("x"))))
         return F.struct(end.alias("at"), out.alias("out"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    return F.when(needed, F.aggregate(found, zero, step)["out"]).otherwise(F.array().cast(SPAN))
+    def summed(all_: Column) -> Column:
+        chunk = lambda c: F.slice(all_, c * CHUNK + 1, CHUNK)
+        of = F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / CHUNK).cast("int"))
+        sizes = F.transform(of, lambda c: F.aggregate(chunk(c), F.lit(0), lambda a, z: a + length(z)))
+        starts = F.aggregate(sizes, F.array(F.lit(0)), lambda a, n: F.array_append(a, F.element_at(a, -1) + n))
+        spans = lambda c, at: F.aggregate(chunk(c), F.struct(at.alias("at"), F.array().cast(SPAN).alias("out")), step)["out"]
+        return F.when(F.size(all_) <= CHUNK, spans(F.lit(0), F.lit(0))).otherwise(let(starts, lambda s: F.flatten(F.transform(of, lambda c: spans(c, F.get(s, c))))))
+
+    return F.when(needed, let(found, summed)).otherwise(F.array().cast(SPAN))
 
 
 def digits(x: Column) -> Column:
@@ -197,8 +215,9 @@ def sanitise_documents(docs: DataFrame, share: float = SHARE, support: int = SUP
     spans = find_spans(docs, share, support)
     kinded = lambda kind: F.transform(kind, lambda s: F.struct(s["start"], s["end"], F.lit(kind).alias("kind")))
     listed = F.concat(*(kinded(k) for k in (*KINDS, *ADDED)))
-    found = spans.select(F.col("doc_id").alias("__id"), F.col("k").alias("__key"), listed.alias("__spans")).where(F.size("__spans") > 0).dropDuplicates(["__id", "__key"])
+    id_, key, kept = fresh(docs, "id", "key", "spans")
+    found = spans.select(F.col("doc_id").alias(id_), F.col("k").alias(key), listed.alias(kept)).where(F.size(kept) > 0).dropDuplicates([id_, key])
     found = maybe_broadcast(materialise(found, "found"), 100_000)
-    same = F.xxhash64(text_of()).eqNullSafe(F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id"))
-    clean = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(sanitise(text_of(), F.col("__spans")))
+    same = F.xxhash64(text_of()).eqNullSafe(F.col(key)) & F.col("doc_id").eqNullSafe(F.col(id_))
+    clean = F.when(F.col(kept).isNull(), F.col("text")).otherwise(sanitise(text_of(), F.col(kept)))
     return docs.join(found, same, "left").withColumn("text", clean).select(*docs.columns)
