@@ -38,7 +38,7 @@ RECORD = pa.schema([("file", pa.string()), ("record_id", pa.string()), ("kind",
 def _fs(uri: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1) if uri.startswith("s3a://") else uri)
 
 
 def _record(kind: str, rid: str, block: bytes, **headers: str | None) -> bytes:
@@ -107,9 +107,9 @@ def write(planned: DataFrame, folder: str) -> DataFrame:
 
 
 def _records(data):
-    """(headers, block) of each record of an archive stream, one gzip member at a time."""
+    """(headers, block) of each record of an archive stream, one gzip member at a time; what a read holds beyond a member is copied, so reads are short."""
     unpack, parts, pending = zlib.decompressobj(31), [], b""
-    while pending or (pending := data.read(1 << 20)):
+    while pending or (pending := data.read(1 << 16)):
         parts.append(unpack.decompress(pending))
         pending = unpack.unused_data
         if unpack.eof:
