@@ -36,14 +36,23 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: lineage ends there, so a lost executor recomputes nothing before it."""
+def materialise(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """Write df once to the shared folder and read it back: lineage ends there, so a lost executor recomputes nothing before it.
+
+    `files` bounds the files (and the last stage's tasks) of a table whose size is known from what it is made of: small
+    tables would else have one for each shuffle partition, and each costs more to create and open than to fill.
+    """
     bounded_batches(df.sparkSession)
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def files_for(spark: SparkSession, amount: int, each: int) -> int:
+    """Files for a table of that many rows or bytes, `each` a file; four a core at least, so that cores stay busy."""
+    return max(4 * spark.sparkContext.defaultParallelism, -(-amount // each))
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete the scratch tables of all finished queries that used this checkpoint folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -136,6 +145,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     now = materialise(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     state = lambda e: tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first())
     before = state(now)
+    spark = edges.sparkSession
     for _ in range(max_rounds):
         if before[0] == 0:
             break
@@ -144,7 +154,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         large = both.where("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         m = min_neighbours(large)
         small = large.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(m.select("u", F.col("m").alias("v"))).distinct()
-        now = materialise(small, "edges")
+        now = materialise(small, "edges", files_for(spark, before[0], 1_000_000))
         after = state(now)
         if after == before:
             break

@@ -16,8 +16,9 @@ difference by (|A| + |B|)(1 - s)/(1 + s).
 4. Candidates are verified on their whole shingle sets.
 
 Equal sets are one class from the first step on, each class being posted once a task, so copies are never paired. A
-band's number of blocks leaves N > d by eight standard deviations or more (exactly, under 32 shingles), which is the
-only chance in the join beside 64-bit hash collisions.
+band's number of blocks leaves N > d by eight standard deviations or more (exactly, under 32 shingles); where a set
+has fewer all the same, the tokens of all sets are dealt into blocks anew. So 64-bit hash collisions are the only
+chance in the join.
 
 Edge cases: null, empty or blank texts have an empty set and link with nothing; a text of fewer than five words is one
 shingle; repeated rows are copies; rows with a null doc_id take part and get the least id they reach, null if there is
@@ -35,16 +36,18 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from serieslab.llm.common import connected_components, materialise, maybe_broadcast, text_of, trim, trimming, worker_memo
+from serieslab.llm.common import connected_components, files_for, materialise, maybe_broadcast, text_of, trim, trimming, worker_memo
 
 WORDS = 5
 TEXT_PER_GROUP = 4 << 20  # bytes of text whose blocks one grouping task gets, about
+FILE_TEXT = 32 << 20  # bytes of text a file and a task of what is made of it, about
 HOT = 64  # documents of one batch that share a block's value, from which on it travels as rows of its own
 TILE = 512
 GROUP_ROWS = 20_000
 MEMO = 100_000
 SLICE = 2 << 20  # bytes of rows whose block values a task sorts at a time, about
 SALTS = 16
+SEEDS = 8  # dealings of the tokens into blocks that are tried
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -126,8 +129,11 @@ def band(n: int) -> int:
     return n.bit_length() - 1
 
 
-def block_values(u: np.ndarray, g: int) -> np.ndarray:
-    """The values of the non-empty blocks of band g; under 32 shingles every token is a block."""
+def block_values(u: np.ndarray, g: int, seed: int = 0) -> np.ndarray:
+    """The values of the non-empty blocks of band g; under 32 shingles every token is a block. A seed other than 0 deals the tokens anew."""
+    if seed:
+        with np.errstate(over="ignore"):
+            u = np.sort(mix(u + _B * np.uint64(seed)))
     with np.errstate(over="ignore"):
         x, step = mix(u + _C), _A * np.uint64(g + 1)
     if g < 5:
@@ -139,23 +145,24 @@ def block_values(u: np.ndarray, g: int) -> np.ndarray:
         return mix(np.bitwise_xor.reduceat(x, starts) + step + at[starts] * _B)
 
 
-def postings(u: np.ndarray, num: int, den: int) -> list[tuple[np.ndarray, int]]:
-    """(block values, code) for the own band, and the one below if a partner may be there.
+def postings(u: np.ndarray, num: int, den: int, seed: int = 0) -> tuple[list[tuple[np.ndarray, int]], bool]:
+    """((block values, code) for the own band, and the one below if a partner may be there; whether the blocks suffice).
 
     The code is twice the number of the commonest blocks that need no look-up, plus 1 in the band below. num/den is
-    the similarity.
+    the similarity. Blocks suffice where there are more of them than two similar sets can differ in.
     """
     n = len(u)
     g = band(n)
     largest = n * den // num
-    out = []
+    out, enough = [], True
     for lower in range(2):
         if lower and (g == 0 or -(-n * num // den) >= 1 << g):
             break
         d = (n + (n if lower else largest)) * (den - num) // (den + num)
-        values = block_values(u, g - lower)
+        values = block_values(u, g - lower, seed)
+        enough &= len(values) > d
         out.append((values, 2 * max(0, len(values) - d - 1) + lower))
-    return out
+    return out, enough
 
 
 MAPPED = "p int, doc_id {0}, n long, h long, k long, sketch binary, values binary, classes binary, counts binary, codes binary, marks binary, marked binary, hot array<struct<b:long,h:long,code:int>>"
@@ -169,8 +176,8 @@ def _slices(batches):
             yield batch.slice(i, step)
 
 
-def _post(batches, groups: int, words: int, num: int, den: int, doc_type: pa.DataType):
-    """Per batch: a row for each document, a row of block values for each group of values, and rows of hot values."""
+def _post(batches, groups: int, words: int, num: int, den: int, doc_type: pa.DataType, seed: int = 0):
+    """Per batch: a row for each document (with codes if its blocks do not suffice), a row of block values for each group of values, and rows of hot values."""
     seen: set[int] = set()
     hot_type = pa.list_(pa.struct([("b", pa.int64()), ("h", pa.int64()), ("code", pa.int32())]))
     names = [x.split()[0] for x in MAPPED.split(", ")]
@@ -182,11 +189,12 @@ def _post(batches, groups: int, words: int, num: int, den: int, doc_type: pa.Dat
             u = shingles(text.as_py(), words)
             h = set_hash(u)
             new = len(u) and h not in seen
-            rows.append((-1 - (i + number) % groups, doc, len(u), h, k, sketch(u) if new else None, None, None, None, None, None, None, None))
+            posted, enough = postings(u, num, den, seed) if new else ([], True)
+            rows.append((-1 - (i + number) % groups, doc, len(u), h, k, sketch(u) if new else None, None, None, None, None if enough else b"", None, None, None))
             if not new:
                 continue
             seen.add(h)
-            for v, code in postings(u, num, den):
+            for v, code in posted:
                 values.append(v)
                 owners.append(h)
                 codes.append(code)
@@ -254,14 +262,14 @@ def _size_blocks(table: pa.Table) -> pa.Table:
         n, m = int(keep.sum()), len(which)
         return pa.table({"kind": pa.array(np.r_[np.full(n, 1), np.full(m, 2)], pa.int32()), "doc_id": pa.nulls(n + m, table.schema.field("doc_id").type), "n": pa.nulls(n + m, pa.int64()), "h": pa.array(np.r_[h[keep], np.zeros(m, np.int64)]), "k": pa.nulls(n + m, pa.int64()), "sketch": pa.nulls(n + m, pa.binary()), "b": pa.array(np.r_[b[keep], which]), "size": pa.array(np.r_[size[keep], total].astype(np.int64)), "code": pa.array(np.r_[code[keep], np.zeros(m, np.int32)].astype(np.int32)), "hot": pa.nulls(n + m, table.schema.field("hot").type)})
     n = table.num_rows
-    return pa.table({"kind": pa.array(np.zeros(n, np.int32)), **{c: table.column(c) for c in ("doc_id", "n", "h", "k", "sketch")}, "b": pa.nulls(n, pa.int64()), "size": pa.nulls(n, pa.int64()), "code": pa.nulls(n, pa.int32()), "hot": table.column("hot")})
+    return pa.table({"kind": pa.array(np.zeros(n, np.int32)), **{c: table.column(c) for c in ("doc_id", "n", "h", "k", "sketch")}, "b": pa.nulls(n, pa.int64()), "size": pa.array(np.where(table.column("codes").is_valid().to_numpy(), -1, 0)), "code": pa.nulls(n, pa.int32()), "hot": table.column("hot")})
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, num: int, den: int, name: str) -> DataFrame:
+def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, num: int, den: int, files: int) -> DataFrame:
     """The pairs (a, b) of classes that are similar, held against each other on their whole sets."""
     ends = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct()
     need = classes.join(ends, "h").select("h", F.col("rep.doc_id").alias("id"), F.col("rep.k").alias("key"))
-    need = maybe_broadcast(materialise(need, "needed"))
+    need = maybe_broadcast(materialise(need, "needed", files))
     texts = docs.select("doc_id", text_of().alias("x")).withColumn("k", F.xxhash64("x"))
     texts = texts.join(need, F.col("k").eqNullSafe(F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("h", "x")
 
@@ -269,7 +277,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, n
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array([shingles(x.as_py(), words).tobytes() for x in batch.column(1)], pa.binary())], names=["h", "u"])
 
-    sets = materialise(texts.mapInArrow(trimming(cut), "h long, u binary").dropDuplicates(["h"]), "sets")
+    sets = materialise(texts.mapInArrow(trimming(cut), "h long, u binary").dropDuplicates(["h"]), "sets", files)
 
     def hold(batches):
         for batch in batches:
@@ -281,7 +289,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, n
             yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     left, right = sets.select(F.col("h").alias("a"), F.col("u").alias("ua")), sets.select(F.col("h").alias("b"), F.col("u").alias("ub"))
-    return materialise(pairs.join(right, "b").join(left, "a").select("a", "b", "ua", "ub").mapInArrow(trimming(hold), "a long, b long"), name)
+    return materialise(pairs.join(right, "b").join(left, "a").select("a", "b", "ua", "ub").mapInArrow(trimming(hold), "a long, b long"), "verified", files)
 
 
 def linked_classes(docs: DataFrame, words: int = WORDS, num: int = 75, den: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -289,50 +297,55 @@ def linked_classes(docs: DataFrame, words: int = WORDS, num: int = 75, den: int
     source = docs.select("doc_id", text_of().alias("x")).withColumn("k", F.xxhash64("x"))
     size = source.agg(F.sum(F.octet_length("x"))).first()[0] or 0
     groups = max(1, math.ceil(size / TEXT_PER_GROUP))
+    files = files_for(docs.sparkSession, size, FILE_TEXT)
     kind = dict(docs.dtypes)["doc_id"]
     from pyspark.sql.pandas.types import to_arrow_type
 
     doc_type = to_arrow_type(docs.schema["doc_id"].dataType)
-    mapped = source.mapInArrow(trimming(lambda batches: _post(batches, groups, words, num, den, doc_type)), MAPPED.format(kind))
-
     def size_blocks(table: pa.Table) -> pa.Table:
         out = _size_blocks(table)
         trim()
         return out
 
     sized = f"kind int, doc_id {kind}, n long, h long, k long, sketch binary, b long, size long, code int, hot array<struct<b:long,h:long,code:int>>"
-    found = materialise(mapped.groupBy("p").applyInArrow(size_blocks, sized), "blocks")
+    for seed in range(SEEDS):
+        mapped = source.mapInArrow(trimming(lambda batches, seed=seed: _post(batches, groups, words, num, den, doc_type, seed)), MAPPED.format(kind))
+        found = materialise(mapped.groupBy("p").applyInArrow(size_blocks, sized), "blocks", files)
+        if found.where("kind = 0 and size < 0").isEmpty():
+            break
+    else:
+        raise RuntimeError("no dealing of the tokens leaves every set enough blocks")
 
     rows = found.where("kind = 0 and hot is null").select("doc_id", "n", "h", "k", "sketch")
     classes = rows.where("n > 0").groupBy("h").agg(F.min(F.struct("doc_id", "k")).alias("rep"), F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
-    classes = materialise(classes, "classes")
+    classes = materialise(classes, "classes", files)
 
-    common = maybe_broadcast(materialise(found.where("kind = 2").select("b", "size"), "common"))
+    common = maybe_broadcast(materialise(found.where("kind = 2").select("b", "size"), "common", files))
     hot = found.where("hot is not null").select(F.inline("hot")).dropDuplicates(["b", "h"]).join(common, "b")
     blocks = found.where("kind = 1").select("b", "h", "size", "code").unionByName(hot.select("b", "h", "size", "code"))
     # The d + 1 rarest blocks of each class and band: all but the `code // 2` commonest
     order = Window.partitionBy("h", F.col("code") % 2).orderBy(F.desc("size"), F.desc("b"))
     kept = blocks.withColumn("nth", F.row_number().over(order)).where(F.col("nth") > F.floor(F.col("code") / 2)).select("b", "h").distinct()
-    kept = materialise(kept, "kept")
+    kept = materialise(kept, "kept", files)
 
     pivots = kept.groupBy("b").agg(F.min("h").alias("a"), F.count("*").alias("size")).where("size > 1").select("b", "a")
     star = kept.join(pivots, "b").where("h <> a").groupBy("h", "a").agg(F.count("*").alias("shared"))
     star = star.groupBy("h").agg(F.max(F.struct("shared", "a")).alias("m")).select("m.a", F.col("h").alias("b"))
-    star = materialise(_near(star, classes, num, den), "star")
-    edges = _verify(star, docs, classes, words, num, den, "star")
+    star = materialise(_near(star, classes, num, den), "star", files)
+    edges = _verify(star, docs, classes, words, num, den, files)
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     # First the nearest pair of any two components that a block joins, then, of those still apart, every pair
     for nearest in (True, False):
-        pairs = _across(kept, connected_components(edges), classes, num, den, nearest)
+        pairs = _across(kept, connected_components(edges), classes, num, den, nearest, files)
         if pairs is None:
             break
-        pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "rest")
-        tried = materialise(tried.unionByName(pairs), "tried")
-        edges = materialise(edges.unionByName(_verify(pairs, docs, classes, words, num, den, "rest")), "edges")
+        pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "rest", files)
+        tried = materialise(tried.unionByName(pairs), "tried", files)
+        edges = materialise(edges.unionByName(_verify(pairs, docs, classes, words, num, den, files)), "edges", files)
     return rows, classes, edges
 
 
-def _across(kept: DataFrame, roots: DataFrame, classes: DataFrame, num: int, den: int, nearest: bool) -> DataFrame | None:
+def _across(kept: DataFrame, roots: DataFrame, classes: DataFrame, num: int, den: int, nearest: bool, files: int) -> DataFrame | None:
     """Pairs (a < b) in one block and of different components whose sketches are near enough; None if no block has two.
 
     Blocks with the same members say the same, so one of each such set is enough.
@@ -341,7 +354,7 @@ def _across(kept: DataFrame, roots: DataFrame, classes: DataFrame, num: int, den
     spread = F.bit_xor(F.xxhash64("h")).alias("x1"), F.bit_xor(F.xxhash64("h", F.lit(1))).alias("x2")
     blocks = member.groupBy("b").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size"), *spread).where("r0 <> r1")
     blocks = blocks.groupBy("x1", "x2", "size").agg(F.min("b").alias("b"))
-    open_ = materialise(blocks.select("b", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"), "size"), "open")
+    open_ = materialise(blocks.select("b", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"), "size"), "open", files)
     work = open_.agg(F.sum(F.col("size") * F.col("tiles"))).first()[0]
     if not work:
         return None
@@ -389,7 +402,7 @@ def components(docs: DataFrame, words: int = WORDS, num: int = 75, den: int = 10
     roots = connected_components(edges).withColumnRenamed("id", "h")
     of_class = classes.select("h", "least", "copies").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
     of_root = of_class.groupBy("root").agg(F.min("least").alias("component"), F.sum("copies").alias("members")).where("members > 1")
-    told = materialise(of_class.join(of_root, "root").select("h", "component", "root"), "components")
+    told = materialise(of_class.join(of_root, "root").select("h", "component", "root"), "components", files_for(docs.sparkSession, classes.count(), 1_000_000))
     small = maybe_broadcast(told)
     own = rows.select("doc_id", "n", "h", "k")
     if small is not told:
