@@ -138,10 +138,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_docs:
     known = labels.where(F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).alias("y"))
     # Ids in the order of a hash, so that the sample depends on neither files nor partitions; max_docs bounds it
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"])
+    # Of texts that share an id the least is learned from, so that it depends on neither files nor partitions
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     bags, y, size = [], [], 0
     for r in rows.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").select("text", "y").toLocalIterator():
-        size += len(r["text"] or "")
+        size += len((r["text"] or "").encode())
         if size > max_bytes:
             break
         bags.append(features(r["text"]))

@@ -3,7 +3,7 @@
 A size-weighted sample of sort keys gives quantile boundaries; records are range-partitioned by them and each range
 is summed exactly. Global offsets of the ranges then turn a record's place in its range into its place among all
 bytes, and so into a shard: an overfull range (a text that a third of all rows share) is subdivided wherever a shard
-boundary falls into it. The sort key is (hash of the text, doc_id), so equal texts stay together elsewhere. Texts are
+boundary falls into it. The sort key is (hash of the text, hash of doc_id), so equal texts stay together elsewhere. Texts are
 read once and never shuffled, only their key and size.
 
 Edge cases: null text has no bytes (its CRC is that of the empty text) but counts with the overhead; rows that are
@@ -73,7 +73,8 @@ def sample_splitters(keyed: DataFrame, total: int, n_ranges: int) -> list[tuple[
 
 def shard_by_bytes(docs: DataFrame, n_shards: int = 40, overhead: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of each row; shards differ by about one record's size."""
-    tie = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.col("doc_id").cast("string")))
+    # The last bits tell rows of one id and text apart, so that a range of them can be subdivided too
+    tie = F.xxhash64(F.col("doc_id").cast("string")).bitwiseAND(F.lit(~4095)).bitwiseOR(F.monotonically_increasing_id().bitwiseAND(F.lit(4095)))
     keyed = materialise(keyed_sizes(docs, overhead).withColumn("tie", tie), "sizes")
     total = keyed.agg(F.sum("size")).first()[0] or 0
     n_ranges = int(min(MAX_RANGES, max(4 * n_shards, total // RANGE_BYTES)))

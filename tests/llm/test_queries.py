@@ -251,3 +251,35 @@ def test_broadcasts_are_checked_by_rows_and_bytes(spark, monkeypatch):
     assert not hinted(common.maybe_broadcast(df))
     monkeypatch.setattr(common, "BROADCAST_BYTES", 25_000)
     assert hinted(common.maybe_broadcast(df))
+
+
+def test_tokens_are_dealt_anew_where_blocks_do_not_suffice(spark, monkeypatch):
+    from serieslab.llm import jaccard_join
+
+    texts = [prose(120) for _ in range(12)]
+    rows = [(i, t) for i, t in enumerate([*texts, *(t + " more words" for t in texts)])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    want = sorted(map(tuple, jaccard_join.components(df).select("doc_id", "component_id").collect()))
+    assert want[12:] == [(i + 12, i) for i in range(12)]
+    first = df.sparkSession.sparkContext.accumulator(0)
+    real = jaccard_join.postings
+
+    def short(u, num, den, seed=0):
+        first.add(seed)
+        out, enough = real(u, num, den, seed)
+        return out, enough and seed > 0
+
+    monkeypatch.setattr(jaccard_join, "postings", short)
+    # Workers import the module anew, so the patched function travels in a closure of the posting
+    post = jaccard_join._post
+    source = types.FunctionType(post.__code__, {**post.__globals__, "postings": short}, "_post", post.__defaults__)
+    monkeypatch.setattr(jaccard_join, "_post", source)
+    assert sorted(map(tuple, jaccard_join.components(df).select("doc_id", "component_id").collect())) == want
+
+
+def test_shards_split_rows_of_one_id_and_text(spark):
+    from serieslab.llm import sharding
+
+    df = spark.range(2000).selectExpr("7L AS doc_id", "repeat('x', 84) AS text").repartition(4)
+    sizes = {r["shard"]: r["count"] for r in sharding.shard_by_bytes(df, 8).groupBy("shard").count().collect()}
+    assert len(sizes) == 8 and max(sizes.values()) - min(sizes.values()) <= 2
