@@ -121,6 +121,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """body(x) with x computed once, however often body names it; the optimiser would copy a column into every element of a lambda."""
+    return F.transform(F.array(x), body)[0]
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

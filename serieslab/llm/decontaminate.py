@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from serieslab.llm.common import ascii_lower, files_for, materialise, maybe_broadcast, text_of
+from serieslab.llm.common import ascii_lower, files_for, let, materialise, maybe_broadcast, text_of
 
 #: What separates words: ASCII but digits and letters (A-Z are gone by then).
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -86,8 +86,8 @@ def _with_texts(docs: DataFrame, found: DataFrame, windows: DataFrame) -> DataFr
 
 def exact_matches(docs: DataFrame, found: DataFrame, windows: DataFrame) -> DataFrame:
     """The candidates whose window stands in the document word for word: doc_id, k, hits (start, n), items of each document."""
-    both = _with_texts(docs, found, windows).select("doc_id", "k", words_of(F.col("x")).alias("ws"), "c")
-    holds = F.filter("c", lambda c: F.slice(F.col("ws"), c["start"] + 1, F.size(c["words"])) == c["words"])
+    both = _with_texts(docs, found, windows)
+    holds = let(words_of(F.col("x")), lambda ws: F.filter("c", lambda c: F.slice(ws, c["start"] + 1, F.size(c["words"])) == c["words"]))
     kept = both.select("doc_id", "k", holds.alias("c")).where(F.size("c") > 0)
     spans = F.array_sort(F.array_distinct(F.transform("c", lambda c: F.struct(c["start"].alias("start"), (c["start"] + F.size(c["words"])).alias("end")))))
     kept = kept.select("doc_id", "k", spans.alias("hits"), F.array_sort(F.array_distinct(F.flatten("c.items"))).alias("items"))
@@ -126,13 +126,13 @@ def proximity_matches(docs: DataFrame, items: DataFrame, width: int = 10, slop:
     vocabulary = materialise(windows.select(F.explode("words").alias("word")).distinct().withColumn("term", F.monotonically_increasing_id()), "vocabulary", few)
     index = materialise(build_index(docs, vocabulary), "postings")
     found = materialise(candidates(index, windows, vocabulary, slop), "candidates")
-    both = _with_texts(docs, found, windows).select("doc_id", words_of(F.col("x")).alias("ws"), "c")
+    both = _with_texts(docs, found, windows)
 
-    def near(c: Column) -> Column:
+    def near(ws: Column, c: Column) -> Column:
         def stands(o: Column) -> Column:
             low = F.greatest(c["start"] + o - slop, F.lit(0))
-            return F.array_contains(F.slice(F.col("ws"), low + 1, F.greatest(c["start"] + o + slop + 1 - low, F.lit(0))), F.get(c["words"], o))
+            return F.array_contains(F.slice(ws, low + 1, F.greatest(c["start"] + o + slop + 1 - low, F.lit(0))), F.get(c["words"], o))
 
         return F.forall(F.sequence(F.lit(0), F.size(c["words"]) - 1), stands)
 
-    return both.select("doc_id", F.explode(F.filter("c", near)).alias("c")).select("doc_id", "c.start", "c.items").distinct()
+    return both.select("doc_id", F.explode(let(words_of(F.col("x")), lambda ws: F.filter("c", lambda c: near(ws, c)))).alias("c")).select("doc_id", "c.start", "c.items").distinct()

@@ -25,12 +25,11 @@ linear time and constant stack.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from serieslab.llm.common import files_for, fresh, materialise, maybe_broadcast, text_of
+from serieslab.llm.common import files_for, fresh, let, materialise, maybe_broadcast, text_of
 
 # What counts as personal data, by kind, in the order of the report.
 KINDS = ("email", "ip", "card", "phone")
@@ -52,11 +51,6 @@ SECRET_BITS = 100  # of information from which on a key-like string is a span of
 ADDED = ("secret", "term")
 
 
-def let(x: Column, body: Callable[[Column], Column]) -> Column:
-    """body(x) with x computed once, however often body names it."""
-    return F.transform(F.array(x), body)[0]
-
-
 def find_all(text: Column, pattern: Column | str, needed: Column) -> Column:
     """(start, end, x) of every match: the gaps between matches and the matches' lengths, summed up.
 
