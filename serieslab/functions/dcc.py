@@ -270,6 +270,11 @@ def nll_ratio(par: np.ndarray, z: np.ndarray, qbar: np.ndarray, w: np.ndarray |
     return nll(np.r_[a, b, par[2:]], z, qbar, w, law)
 
 
+def nll_at_shape(shape: float, z: np.ndarray, qbar: np.ndarray, alpha: float, beta: float, w: np.ndarray | None = None, copula: bool = True) -> float:
+    """The Student t likelihood as a function of its shape alone."""
+    return nll(np.array([alpha, beta, shape]), z, qbar, w, "mvt", copula=copula)
+
+
 def constant_rows(z: np.ndarray, r: np.ndarray, shape: float | None = None, copula: bool = False) -> np.ndarray:
     """Log-likelihoods per row under one correlation matrix, on the same scale as the dynamic ones."""
     return log_likelihood(z, np.broadcast_to(r, (len(z), *r.shape)), shape, copula)

@@ -156,8 +156,8 @@ def draw_until(frame: DataFrame, each: Callable[[Column], Column], mean: Column,
     return drawn.withColumn("pos0", F.sum(F.col("block.len").cast("long")).over(w) - F.col("block.len")).where(F.col("pos0") < F.col("target"))
 
 
-def stationary_plan(frame: DataFrame, p: float | Column, block_type: str = "overlapping", percentile: float = 0.99, fraction: float = 0.10, seed: int = 1, salt: list[Column] | None = None) -> DataFrame:
-    """Blocks of geometric length, capped; as many as reach the target, the last one cut."""
+def stationary_plan(frame: DataFrame, p: float | Column, block_type: str = "overlapping", percentile: float = 0.99, fraction: float = 0.10, seed: int = 1, salt: list[Column] | None = None, circular: bool = True) -> DataFrame:
+    """Blocks of geometric length, capped; as many as reach the target, the last one cut. Unless circular, no block runs over the series' end."""
     _check(block_type, BLOCK_TYPES)
     if not isinstance(p, Column) and outside_unit_interval(p, allow_none=False):
         raise ValueError("p must be between 0 and 1")
@@ -178,7 +178,7 @@ def stationary_plan(frame: DataFrame, p: float | Column, block_type: str = "over
     rows = draw_until(frame, each, mean)
     full, n = F.col("block.len"), F.col("n")
     v = hash_uniform(seed, "start", *salt, F.col("boot_id"), F.col("block_no"))
-    start = F.floor(v * F.greatest(F.lit(1), F.floor(n / full))) * full if block_type == "non-overlapping" else F.floor(v * n)
+    start = F.floor(v * F.greatest(F.lit(1), F.floor(n / full))) * full if block_type == "non-overlapping" else F.floor(v * (n if circular else n - full + 1))
     return rows.select("series_id", "boot_id", "n", "block_no", start.cast("long").alias("start"), full.alias("full"), F.least(full, F.col("target") - F.col("pos0")).cast("int").alias("len"), "pos0")
 
 
@@ -198,7 +198,7 @@ def values_at(at: DataFrame, series: DataFrame, total: int) -> DataFrame:
     return at.join(F.broadcast(side) if total <= BROADCAST_ROWS else side, ["series_id", "src_t"])
 
 
-def block_bootstrap(series: DataFrame, bs_type: str = "moving", block_type: str = "overlapping", taper: str = "cosine", alpha: float = 0.5, block_length: int | None = None, n_boot: int | None = None, num_blocks: int | None = None, num_boots: int = 20, p: float | Column = 0.1, percentile: float = 0.99, fraction: float = 0.10, seed: int = 1) -> DataFrame:
+def block_bootstrap(series: DataFrame, bs_type: str = "moving", block_type: str = "overlapping", taper: str = "cosine", alpha: float = 0.5, block_length: int | None = None, n_boot: int | None = None, num_blocks: int | None = None, num_boots: int = 20, p: float | Column = 0.1, percentile: float = 0.99, fraction: float = 0.10, seed: int = 1, circular: bool = True) -> DataFrame:
     """Moving or stationary block replicates. Each has n_boot rows, else num_blocks x block_length, else the series' own."""
     _check(bs_type, ("moving", "stationary"))
     _check(block_type, BLOCK_TYPES)
@@ -206,7 +206,7 @@ def block_bootstrap(series: DataFrame, bs_type: str = "moving", block_type: str
         checked_count(x, name)
     frame, total = replicates(series, num_boots, block_length, n_boot, num_blocks)
     salt = salt_of(series)
-    plan = moving_plan(frame, block_type, seed, salt) if bs_type == "moving" else stationary_plan(frame, p, block_type, percentile, fraction, seed, salt)
+    plan = moving_plan(frame, block_type, seed, salt) if bs_type == "moving" else stationary_plan(frame, p, block_type, percentile, fraction, seed, salt, circular)
     return gather(plan, series, total, taper if block_type == "tapered" else None, alpha)
 
 
@@ -335,8 +335,8 @@ def pool_bootstrap(series: DataFrame, states: DataFrame, num_boots: int = 20, n_
 def recover_blocks(boots: DataFrame, series: DataFrame) -> DataFrame:
     """Blocks found from values alone: each row's nearest source row, a new block where it isn't the one after the last (mod n).
 
-    Distances are squared Euclidean and ties go to the first row. Equal rows are looked up once, the series' rows being
-    bound to them by a range of their first column: a source row cannot be nearer than its first column is.
+    Distances are squared Euclidean and ties go to the first row. Equal rows are looked up once, by an Arrow task a
+    series (of one series, a task a share of the rows, each with the whole series).
     """
     cols, by = value_columns(series), keys(series)
     if "src_t" in boots.columns:
