@@ -171,7 +171,7 @@ def comparison_table(d: Diagnostics, stat: str) -> DataFrame:
     """boot_id, name, value and the original's value of a statistic (mean or ac1)."""
     by = keys(d.replicate_stats)
     first = d.original_stats.select(*by, "name", F.col(stat).alias("original"))
-    return d.replicate_stats.select(*by, "boot_id", "name", F.col(stat).alias("value")).join(F.broadcast(first), [*by, "name"])
+    return d.replicate_stats.select(*by, "boot_id", "name", F.col(stat).alias("value")).join(first, [*by, "name"])
 
 
 def plot_table(d: Diagnostics, which: str) -> DataFrame | None:

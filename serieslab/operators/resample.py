@@ -195,7 +195,12 @@ def gather(plan: DataFrame, series: DataFrame, total: int, taper: str | None = N
 def values_at(at: DataFrame, series: DataFrame, total: int) -> DataFrame:
     """at (series_id, src_t, ...) with the series' values at src_t."""
     side = with_id(series).select("series_id", F.col("t").alias("src_t"), *value_columns(series))
-    return at.join(F.broadcast(side) if total <= BROADCAST_ROWS else side, ["series_id", "src_t"])
+    return at.join(_small(side, total), ["series_id", "src_t"])
+
+
+def _small(df: DataFrame, total: int) -> DataFrame:
+    """df, made of `total` rows of series, to be broadcast if they are few."""
+    return F.broadcast(df) if total <= BROADCAST_ROWS else df
 
 
 def block_bootstrap(series: DataFrame, bs_type: str = "moving", block_type: str = "overlapping", taper: str = "cosine", alpha: float = 0.5, block_length: int | None = None, n_boot: int | None = None, num_blocks: int | None = None, num_boots: int = 20, p: float | Column = 0.1, percentile: float = 0.99, fraction: float = 0.10, seed: int = 1, circular: bool = True) -> DataFrame:
@@ -261,7 +266,7 @@ def regime_bootstrap(series: DataFrame, states: DataFrame, num_boots: int = 20,
     frame, total = replicates(series, num_boots, 1, n_boot or None)
     run = with_id(materialise(runs(states), "runs"))
     listed = run.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("run_no", "start", "len", "state"))).alias("runs"), F.sum("len").alias("m"), F.avg("len").alias("mean"))
-    frame = frame.join(F.broadcast(listed), "series_id")  # a row a series; a row holds its runs
+    frame = frame.join(_small(listed, total), "series_id")  # a row a series, which holds its runs
     salt = salt_of(series)
 
     def each(x: Column) -> Column:
@@ -314,7 +319,7 @@ def pool_bootstrap(series: DataFrame, states: DataFrame, num_boots: int = 20, n_
     salted = bool(keys(series))
     path = with_id(states).groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "state"))), lambda x: x["state"].cast("int")).alias("path"), F.min("t").alias("t0"))
     frame, total = replicates(series, num_boots, 1, n_boot)
-    chunks = frame.groupBy("series_id", "target", F.floor(F.col("boot_id") / CHUNK).alias("chunk")).agg(F.array_sort(F.collect_list("boot_id")).alias("boots")).join(F.broadcast(path), "series_id")
+    chunks = frame.groupBy("series_id", "target", F.floor(F.col("boot_id") / CHUNK).alias("chunk")).agg(F.array_sort(F.collect_list("boot_id")).alias("boots")).join(_small(path, total), "series_id")
 
     def walk(batches):
         for pdf in batches:
@@ -365,7 +370,7 @@ def recover_blocks(boots: DataFrame, series: DataFrame) -> DataFrame:
         condition = condition & s
     placed = boots.join(found, condition).select(*(boots[c] for c in by), boots["boot_id"], boots["pos"], found["src_t"])
     sizes = series.groupBy(*by).agg(F.count("*").alias("n"))
-    placed = placed.join(F.broadcast(sizes), by) if by else placed.withColumn("n", F.lit(series.count()))
+    placed = placed.join(sizes, by) if by else placed.withColumn("n", F.lit(series.count()))
     w = Window.partitionBy(*by, "boot_id").orderBy("pos")
     new = F.when(F.col("src_t") == F.pmod(F.lag("src_t").over(w) + 1, F.col("n")), 0).otherwise(1)
     marked = placed.withColumn("new", new).withColumn("block_num", F.sum("new").over(w))
