@@ -308,6 +308,19 @@ def pools(states: DataFrame, least: int = 10) -> DataFrame:
     return states.groupBy(*keys(states), "state").agg(F.count("*").alias("size")).withColumn("few", F.col("size") < least)
 
 
+def pool_starts(states: DataFrame, length: int) -> DataFrame:
+    """(state, t): the rows from which a pool has `length` consecutive ones, where a micro-block may start."""
+    w = Window.partitionBy(*keys(states), "state").orderBy("t")
+    found = states.select(*keys(states), "state", "t", F.lead("t", length - 1).over(w).alias("last")) if length > 1 else states.withColumn("last", F.col("t"))
+    return found.where(F.col("last") == F.col("t") + length - 1).select(*keys(states), "state", "t")
+
+
+def market(series: DataFrame, column: str | None = None) -> DataFrame:
+    """(t, x): the series that regimes are told from, the mean of the columns or one of them."""
+    cols = [column] if column else value_columns(series)
+    return series.select(*keys(series), "t", (sum((F.col(c) for c in cols), F.lit(0.0)) / len(cols)).alias("x"))
+
+
 def pool_bootstrap(series: DataFrame, states: DataFrame, num_boots: int = 20, n_boot: int | None = None, seed: int = 1, micro_block: int = 1) -> DataFrame:
     """A simulated Markov chain of states, each row drawn from its state's pool, or micro-blocks of consecutive rows inside a stay.
 

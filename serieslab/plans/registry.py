@@ -660,7 +660,7 @@ def cv_grid_mae(spark, sf_dir):
     return _round(cv.k_fold(_pairs(spark, sf_dir), ["x"], "y", 5, [0.05, 0.1], score=cv.mae), "score", digits=4)
 
 
-@query("SELECT 0.01 AS p")
+@query("SELECT CAST(0.01 AS DOUBLE) AS p")
 def cv_choice_of_p(spark, sf_dir):
     # The mean model does not see p, so all candidates tie and the first wins
     return cv.best_p(cv.k_fold(_pairs(spark, sf_dir), ["x"], "y", 5, [0.01, 0.05, 0.1])).select("p")
@@ -762,3 +762,6 @@ def oracle_sql() -> dict[str, str]:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.summarize(summary.apply_columns(_boots(spark, sf_dir, bs_type="stationary"), {"mean": F.avg, "sd": F.stddev_samp}))
+
+
+from serieslab.plans import fixed as _fixed  # noqa: E402, F401  (it registers its queries)
