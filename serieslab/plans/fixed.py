@@ -240,9 +240,9 @@ def micro_block_starts(spark, sf_dir):
     return resample.pool_starts(_states(spark, sf_dir)[1], 3)
 
 
-@query(f"WITH {LINES} SELECT t, round((quantity + price + discount + tax) / 4, 4) AS x FROM s")
+@query(f"WITH {LINES} SELECT t, (quantity + price + discount + tax) / 4 AS x FROM s")
 def market_series(spark, sf_dir):
-    return _round(resample.market(src.daily_lines(spark, sf_dir)), "x", digits=4)
+    return resample.market(src.daily_lines(spark, sf_dir))
 
 
 # --- portfolios
