@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import sys
 import uuid
@@ -22,10 +23,31 @@ BATCH_BYTES = 4 << 20
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+#: Folders that scratch tables go to while a scratch_scope is open, the innermost last.
+_scopes: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder that spark.checkpoint.dir names; where it is unset, in the warehouse, which executors share too."""
     base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
-    return f"{base.rstrip('/')}/serieslab/{name}-{uuid.uuid4().hex}"
+    return "/".join([base.rstrip("/"), "serieslab", *_scopes[-1:], f"{name}-{uuid.uuid4().hex}"])
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables made inside go to a folder of their own, which is deleted at the end: what is needed later must be written outside."""
+    _scopes.append(f"scope-{uuid.uuid4().hex}")
+    path = scratch(spark, "x").rsplit("/", 1)[0]
+    try:
+        yield
+    finally:
+        _scopes.pop()
+        delete(spark, path)
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -36,14 +58,14 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-def materialise(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+def materialise(df: DataFrame, name: str, files: int | None = None, path: str | None = None) -> DataFrame:
     """Write df once to the shared folder and read it back: lineage ends there, so a lost executor recomputes nothing before it.
 
     `files` bounds the files (and the last stage's tasks) of a table whose size is known from what it is made of: small
     tables would else have one for each shuffle partition, and each costs more to create and open than to fill.
     """
     bounded_batches(df.sparkSession)
-    path = scratch(df.sparkSession, name)
+    path = path or scratch(df.sparkSession, name)
     (df.coalesce(files) if files else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -54,11 +76,8 @@ def files_for(spark: SparkSession, amount: int, each: int) -> int:
 
 
 def drop_scratch(spark: SparkSession) -> None:
-    """Delete the scratch tables of all finished queries that used this checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/serieslab")
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete all scratch tables in this checkpoint folder. Call it when no query that uses the folder runs."""
+    delete(spark, scratch(spark, "x").rsplit("/", 1)[0])
 
 
 def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -283,3 +283,14 @@ def test_shards_split_rows_of_one_id_and_text(spark):
     df = spark.range(2000).selectExpr("7L AS doc_id", "repeat('x', 84) AS text").repartition(4)
     sizes = {r["shard"]: r["count"] for r in sharding.shard_by_bytes(df, 8).groupBy("shard").count().collect()}
     assert len(sizes) == 8 and max(sizes.values()) - min(sizes.values()) <= 2
+
+
+def test_scopes_leave_nothing_behind(spark):
+    with common.scratch_scope(spark):
+        inside = common.scratch(spark, "t")
+        df = common.materialise(spark.range(3), "t")
+        outside = common.materialise(df, "u", path=common.scratch(spark, "u").replace(inside.rsplit("/", 2)[1] + "/", ""))
+    assert outside.count() == 3 and "scope-" not in outside.inputFiles()[0]
+    with pytest.raises(Exception):
+        df.collect()
+    assert "scope-" not in common.scratch(spark, "t")
