@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from serieslab.llm.common import bounded_batches, trimming, worker_memo
+from serieslab.llm.common import bounded_batches, trim, trimming, worker_memo
 
 PASSAGE = 64
 HASHED = 512
@@ -147,7 +147,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_docs:
             break
         bags.append(features(r["text"]))
         y.append(r["y"])
-    return fit(bags, np.array(y, np.float32))
+    model = fit(bags, np.array(y, np.float32))
+    del bags
+    trim()  # the driver, too, gives back what the sample took
+    return model
 
 
 def score_batch(model: dict, texts: pa.Array) -> np.ndarray:
