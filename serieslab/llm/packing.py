@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from serieslab.llm.common import materialise, trimming, worker_memo
 
 #: Space-led chunks that a worker remembers; as many again are kept from before the memo was last begun anew.
-MEMO = 150_000
+MEMO = 400_000
 #: A space as byte-level BPE writes it.
 SPACE = "\u0120"
 #: A Latin word and signs after it, then maybe a line end, a word and signs.
@@ -96,8 +96,11 @@ class ChunkEncoder(dict):
         if not text or any(s in text for s in self.special):
             return self.whole(text)
         first, *rest = text.split(" ")
-        ids = [*map(self.__getitem__, rest)]
-        return self.whole(text) if None in ids else (self.whole(first) if first else b"") + b"".join(ids)
+        try:
+            ids = b"".join(map(self.__getitem__, rest))
+        except TypeError:  # a chunk of no ids of its own
+            return self.whole(text)
+        return (self.whole(first) if first else b"") + ids
 
 
 _SHORT = [struct.Struct(f"<{n}I").pack for n in range(32)]
