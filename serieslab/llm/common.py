@@ -71,8 +71,13 @@ def materialise(df: DataFrame, name: str, files: int | None = None, path: str |
 
 
 def files_for(spark: SparkSession, amount: int, each: int) -> int:
-    """Files for a table of that many rows or bytes, `each` a file; four a core at least, so that cores stay busy."""
-    return max(4 * spark.sparkContext.defaultParallelism, -(-amount // each))
+    """Files for a table of that many rows or bytes that is dear to make, `each` a file; two a core at least, so that cores stay busy."""
+    return max(2 * spark.sparkContext.defaultParallelism, few_files(amount, each))
+
+
+def few_files(rows: int, each: int = 250_000) -> int:
+    """Files for a table of at most that many rows of a few numbers, made from tables that are there."""
+    return max(1, -(-rows // each))
 
 
 def drop_scratch(spark: SparkSession) -> None:
@@ -169,7 +174,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     now = materialise(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     state = lambda e: tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first())
     before = state(now)
-    spark = edges.sparkSession
     for _ in range(max_rounds):
         if before[0] == 0:
             break
@@ -178,7 +182,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         large = both.where("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         m = min_neighbours(large)
         small = large.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(m.select("u", F.col("m").alias("v"))).distinct()
-        now = materialise(small, "edges", files_for(spark, before[0], 1_000_000))
+        now = materialise(small, "edges", few_files(before[0]))
         after = state(now)
         if after == before:
             break

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from serieslab.llm.common import ascii_lower, files_for, let, materialise, maybe_broadcast, text_of
+from serieslab.llm.common import ascii_lower, few_files, files_for, let, materialise, maybe_broadcast, text_of
 
 #: What separates words: ASCII but digits and letters (A-Z are gone by then).
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -59,7 +59,7 @@ def candidates(index: DataFrame, windows: DataFrame, vocabulary: DataFrame, slop
     The lists are intersected by one grouping: a start that each of a window's anchors votes for.
     """
     counts = index.where("term >= 0").groupBy("term").agg(F.count("*").alias("n"))
-    anchors = materialise(_anchors(windows, vocabulary, counts), "anchors", files_for(windows.sparkSession, windows.count(), 10_000))
+    anchors = materialise(_anchors(windows, vocabulary, counts), "anchors", few_files(windows.count(), 10_000))
     need = maybe_broadcast(anchors.groupBy("w").agg(F.count("*").cast("int").alias("need")))
     hits = index.join(maybe_broadcast(anchors), "term").select("doc_id", "k", (F.col("pos") - F.col("offset")).alias("start"), "w", "j")
     if slop:
@@ -78,7 +78,7 @@ def _with_texts(docs: DataFrame, found: DataFrame, windows: DataFrame) -> DataFr
     """
     listed = found.join(maybe_broadcast(windows), "w").select("doc_id", "k", "start", "words", "items").distinct()
     listed = listed.groupBy("doc_id", "k").agg(F.collect_list(F.struct("start", "words", "items")).alias("c")).withColumnsRenamed({"doc_id": "id", "k": "key"})
-    keys = maybe_broadcast(materialise(found.select(F.col("doc_id").alias("id"), F.col("k").alias("key")).distinct(), "keys", files_for(docs.sparkSession, found.count(), 1_000_000)))
+    keys = maybe_broadcast(materialise(found.select(F.col("doc_id").alias("id"), F.col("k").alias("key")).distinct(), "keys", few_files(found.count())))
     same = F.col("k").eqNullSafe(F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id"))
     texts = docs.select("doc_id", text_of().alias("x")).withColumn("k", F.xxhash64("x")).join(keys, same, "left_semi")
     return texts.join(listed, same).drop("id", "key")
@@ -102,11 +102,11 @@ def covered(spans: Column) -> Column:
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of docs, and k, hits (word spans)."""
-    few = files_for(docs.sparkSession, items.count(), 10_000)
+    few = few_files(items.count(), 10_000)
     windows = materialise(windows_of(items, width), "windows", few)
     vocabulary = materialise(windows.select(F.explode("words").alias("word")).distinct().withColumn("term", F.monotonically_increasing_id()), "vocabulary", few)
-    index = materialise(build_index(docs, vocabulary), "postings")
-    found = materialise(candidates(index, windows, vocabulary), "candidates")
+    index = materialise(build_index(docs, vocabulary), "postings", files_for(docs.sparkSession, docs.count(), 20_000))
+    found = materialise(candidates(index, windows, vocabulary), "candidates", files_for(docs.sparkSession, docs.count(), 20_000))
     hits = exact_matches(docs, found, windows).withColumnsRenamed({"doc_id": "id", "k": "key"})
     rows = index.where("term = -1").select("doc_id", "k", F.col("pos").cast("long").alias("n_words"))
     both = rows.join(hits, F.col("k").eqNullSafe(F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id")), "left")
@@ -121,10 +121,10 @@ def proximity_matches(docs: DataFrame, items: DataFrame, width: int = 10, slop:
     Offsets count from the window's rarest word, which sets the start. A window of which a word is missing there, or
     has moved further, is no match.
     """
-    few = files_for(docs.sparkSession, items.count(), 10_000)
+    few = few_files(items.count(), 10_000)
     windows = materialise(windows_of(items, width), "windows", few)
     vocabulary = materialise(windows.select(F.explode("words").alias("word")).distinct().withColumn("term", F.monotonically_increasing_id()), "vocabulary", few)
-    index = materialise(build_index(docs, vocabulary), "postings")
+    index = materialise(build_index(docs, vocabulary), "postings", files_for(docs.sparkSession, docs.count(), 20_000))
     found = materialise(candidates(index, windows, vocabulary, slop), "candidates")
     both = _with_texts(docs, found, windows)
 

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from serieslab.llm.common import connected_components, files_for, materialise, maybe_broadcast, text_of, trim, trimming, worker_memo
+from serieslab.llm.common import connected_components, few_files, files_for, materialise, maybe_broadcast, text_of, trim, trimming, worker_memo
 
 WORDS = 5
 TEXT_PER_GROUP = 4 << 20  # bytes of text whose blocks one grouping task gets, about
@@ -269,7 +269,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, n
     """The pairs (a, b) of classes that are similar, held against each other on their whole sets."""
     ends = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct()
     need = classes.join(ends, "h").select("h", F.col("rep.doc_id").alias("id"), F.col("rep.k").alias("key"))
-    need = maybe_broadcast(materialise(need, "needed", files))
+    need = maybe_broadcast(materialise(need, "needed", few_files(classes.count())))
     texts = docs.select("doc_id", text_of().alias("x")).withColumn("k", F.xxhash64("x"))
     texts = texts.join(need, F.col("k").eqNullSafe(F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("h", "x")
 
@@ -319,6 +319,7 @@ def linked_classes(docs: DataFrame, words: int = WORDS, num: int = 75, den: int
     rows = found.where("kind = 0 and hot is null").select("doc_id", "n", "h", "k", "sketch")
     classes = rows.where("n > 0").groupBy("h").agg(F.min(F.struct("doc_id", "k")).alias("rep"), F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
     classes = materialise(classes, "classes", files)
+    few = few_files(classes.count())  # for what has a pair or a number a class at most
 
     common = maybe_broadcast(materialise(found.where("kind = 2").select("b", "size"), "common", files))
     hot = found.where("hot is not null").select(F.inline("hot")).dropDuplicates(["b", "h"]).join(common, "b")
@@ -331,7 +332,7 @@ def linked_classes(docs: DataFrame, words: int = WORDS, num: int = 75, den: int
     pivots = kept.groupBy("b").agg(F.min("h").alias("a"), F.count("*").alias("size")).where("size > 1").select("b", "a")
     star = kept.join(pivots, "b").where("h <> a").groupBy("h", "a").agg(F.count("*").alias("shared"))
     star = star.groupBy("h").agg(F.max(F.struct("shared", "a")).alias("m")).select("m.a", F.col("h").alias("b"))
-    star = materialise(_near(star, classes, num, den), "star", files)
+    star = materialise(_near(star, classes, num, den), "star", few)
     edges = _verify(star, docs, classes, words, num, den, files)
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     # First the nearest pair of any two components that a block joins, then, of those still apart, every pair
@@ -341,7 +342,7 @@ def linked_classes(docs: DataFrame, words: int = WORDS, num: int = 75, den: int
             break
         pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "rest", files)
         tried = materialise(tried.unionByName(pairs), "tried", files)
-        edges = materialise(edges.unionByName(_verify(pairs, docs, classes, words, num, den, files)), "edges", files)
+        edges = materialise(edges.unionByName(_verify(pairs, docs, classes, words, num, den, files)), "edges", few)
     return rows, classes, edges
 
 
@@ -402,7 +403,7 @@ def components(docs: DataFrame, words: int = WORDS, num: int = 75, den: int = 10
     roots = connected_components(edges).withColumnRenamed("id", "h")
     of_class = classes.select("h", "least", "copies").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
     of_root = of_class.groupBy("root").agg(F.min("least").alias("component"), F.sum("copies").alias("members")).where("members > 1")
-    told = materialise(of_class.join(of_root, "root").select("h", "component", "root"), "components", files_for(docs.sparkSession, classes.count(), 1_000_000))
+    told = materialise(of_class.join(of_root, "root").select("h", "component", "root"), "components", few_files(classes.count()))
     small = maybe_broadcast(told)
     own = rows.select("doc_id", "n", "h", "k")
     if small is not told:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from serieslab.llm.common import materialise, trimming, worker_memo
+from serieslab.llm.common import files_for, materialise, trimming, worker_memo
 
 #: Space-led chunks that a worker remembers; as many again are kept from before the memo was last begun anew.
 MEMO = 400_000
@@ -199,7 +199,7 @@ def plan_bins(counts: np.ndarray, capacity: int) -> dict[str, np.ndarray]:
 def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer: str | None = None, salts: int = 64, with_ids: bool = False) -> DataFrame:
     """token_pieces() with sequence_id and offset, and the ids if asked for. Pieces of the full capacity get (negative) sequences of their own."""
     spark = docs.sparkSession
-    pieces = materialise(token_pieces(docs, capacity, end_id, tokenizer, with_ids), "pieces")
+    pieces = materialise(token_pieces(docs, capacity, end_id, tokenizer, with_ids), "pieces", files_for(spark, docs.count(), 10_000))
     salted = pieces.where(F.col("length") < capacity).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))  # at most capacity x salts rows
     cells = sorted((r["length"], r["salt"], r["n"]) for r in sizes.toLocalIterator())

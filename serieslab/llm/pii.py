@@ -29,7 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from serieslab.llm.common import files_for, fresh, let, materialise, maybe_broadcast, text_of
+from serieslab.llm.common import few_files, files_for, fresh, let, materialise, maybe_broadcast, text_of
 
 # What counts as personal data, by kind, in the order of the report.
 KINDS = ("email", "ip", "card", "phone")
@@ -140,21 +140,21 @@ def disclosing_terms(docs: DataFrame, detected: DataFrame, share: float = SHARE,
     seen = detected.where("contexts is not null").select("doc_id", "k", F.inline("contexts"))
     near = seen.select("value", F.xxhash64("context").alias("c"), F.explode(words_of(F.col("context"))).alias("term"))
     pairs = near.distinct().groupBy("value", "term").agg(F.count("*").alias("support")).where(F.col("support") >= support)
-    pairs = materialise(pairs.select("value", "term"), "pairs")
     n = max(1, detected.count())
-    files = files_for(docs.sparkSession, n, 500_000)
+    files, some = few_files(n), files_for(docs.sparkSession, n, 20_000)
+    pairs = materialise(pairs.select("value", "term"), "pairs", some)
     # m rows share an id and a text; a value counts once in each
     each = detected.where("contexts is not null").groupBy("doc_id", "k").agg(F.count("*").alias("m"), F.first("contexts").alias("contexts"))
-    valued = materialise(each.select("doc_id", "k", "m", F.explode(F.array_distinct(F.transform("contexts", lambda c: c["value"]))).alias("value")), "valued")
+    valued = materialise(each.select("doc_id", "k", "m", F.explode(F.array_distinct(F.transform("contexts", lambda c: c["value"]))).alias("value")), "valued", some)
     of_value = valued.groupBy("value").agg(F.sum("m").alias("n_value"))
     of_term = words_in(docs).groupBy("term").agg(F.count("*").alias("n_term"))
     ic = -F.log2(F.col("n_value") / n)
     # No pair has more rows in common than the rarer of its two has
     most = F.log2(F.lit(float(n)) / F.greatest("n_value", "n_term"))
     able = pairs.join(of_value, "value").where(ic > 0).join(of_term, "term").where(most >= share * ic - 1e-9)
-    able = materialise(able, "able", files)
+    able = materialise(able, "able", some)
     terms = maybe_broadcast(materialise(able.select("term").distinct(), "able-terms", files))
-    held = materialise(words_in(docs).join(terms, "term", "left_semi").distinct(), "occurrences")
+    held = materialise(words_in(docs).join(terms, "term", "left_semi").distinct(), "occurrences", some)
     values = maybe_broadcast(materialise(able.select("value").distinct(), "able-values", files))
     left = valued.join(values, "value", "left_semi").withColumnsRenamed({"doc_id": "id", "k": "key"})
     both = left.join(held, F.col("k").eqNullSafe(F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id")))
@@ -166,16 +166,16 @@ def disclosing_terms(docs: DataFrame, detected: DataFrame, share: float = SHARE,
 
 def find_spans(docs: DataFrame, share: float = SHARE, support: int = SUPPORT) -> DataFrame:
     """doc_id, k and arrays of (start, end) for each kind, for secrets and for the disclosing terms ("term") of each row."""
-    detected = materialise(detect(docs), "detected")
+    detected = materialise(detect(docs), "detected", files_for(docs.sparkSession, docs.count(), 20_000))
     told, held = disclosing_terms(docs, detected, share, support)
-    files = files_for(docs.sparkSession, detected.count(), 500_000)
+    files = few_files(detected.count())
     hit = held.join(maybe_broadcast(told), "term").groupBy("doc_id", "k").agg(F.array_sort(F.collect_set("term")).alias("terms"))
     hit = materialise(hit, "disclosing", files).withColumnsRenamed({"doc_id": "id", "k": "key"})
     same = F.col("k").eqNullSafe(F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id"))
     rows = docs.select("doc_id", text_of().alias("x")).withColumn("k", F.xxhash64("x")).join(maybe_broadcast(hit), same)
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
     terms = rows.select("id", "key", bare(find_all(F.col("x"), pattern, F.lit(True))).alias("term")).dropDuplicates(["id", "key"])
-    spans = detected.drop("contexts").join(maybe_broadcast(materialise(terms, "terms", files)), same, "left").drop("id", "key")
+    spans = detected.drop("contexts").join(maybe_broadcast(materialise(terms, "terms", files_for(docs.sparkSession, detected.count(), 20_000))), same, "left").drop("id", "key")
     found = F.coalesce("term", F.array().cast("array<struct<start:int,end:int>>"))
     return spans.withColumn("term", free_of(found, *KINDS, "secret"))
 
@@ -213,7 +213,7 @@ def sanitise_documents(docs: DataFrame, share: float = SHARE, support: int = SUP
     listed = F.concat(*(kinded(k) for k in (*KINDS, *ADDED)))
     id_, key, kept = fresh(docs, "id", "key", "spans")
     found = spans.select(F.col("doc_id").alias(id_), F.col("k").alias(key), listed.alias(kept)).where(F.size(kept) > 0).dropDuplicates([id_, key])
-    found = maybe_broadcast(materialise(found, "found", files_for(docs.sparkSession, docs.count(), 500_000)), 100_000)
+    found = maybe_broadcast(materialise(found, "found", few_files(docs.count())), 100_000)
     same = F.xxhash64(text_of()).eqNullSafe(F.col(key)) & F.col("doc_id").eqNullSafe(F.col(id_))
     clean = F.when(F.col(kept).isNull(), F.col("text")).otherwise(sanitise(text_of(), F.col(kept)))
     return docs.join(found, same, "left").withColumn("text", clean).select(*docs.columns)
