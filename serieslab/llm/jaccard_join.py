@@ -10,10 +10,11 @@ difference by (|A| + |B|)(1 - s)/(1 + s).
    rarest blocks, rarity being the number of distinct sets that hold a block's value. Values that many documents share
    (license lines, common passages) thus drop out without a cap on anything.
 3. Documents that share a looked-up block are candidates. First each is held against the one partner it shares most
-   blocks with; blocks whose documents are then all in one component say nothing more. In the others, the nearest pair
-   of any two components, then all pairs of components still apart, are held against each other, in tiles, as far as
-   their sketches are near enough.
-4. Candidates are verified on their whole shingle sets.
+   blocks with, on their whole shingle sets; blocks whose documents are then all in one component say nothing more.
+4. In the others, documents of different components whose sketches are near enough make families. All such pairs of a
+   family are then held against each other on their whole sets, in tiles. A family may have as many pairs as the square
+   of its size, near by sketch or similar, so no pair leaves its task: out of a cell of tiles come only edges that tie
+   the same components together, fewer than the cell has documents.
 
 Equal sets are one class from the first step on, each class being posted once a task, so copies are never paired. A
 band's number of blocks leaves N > d by eight standard deviations or more (exactly, under 32 shingles); where a set
@@ -44,6 +45,8 @@ FILE_TEXT = 32 << 20  # bytes of text a file and a task of what is made of it, a
 HOT = 64  # documents of one batch that share a block's value, from which on it travels as rows of its own
 TILE = 512
 GROUP_ROWS = 20_000
+TILE_BYTES = 8 << 20  # bytes of whole sets in a tile, about
+CELL_BYTES = 4 << 20  # bytes of whole sets that one call of the comparison gets, about, or one pair of tiles
 MEMO = 100_000
 SLICE = 2 << 20  # bytes of rows whose block values a task sorts at a time, about
 SALTS = 16
@@ -265,9 +268,8 @@ def _size_blocks(table: pa.Table) -> pa.Table:
     return pa.table({"kind": pa.array(np.zeros(n, np.int32)), **{c: table.column(c) for c in ("doc_id", "n", "h", "k", "sketch")}, "b": pa.nulls(n, pa.int64()), "size": pa.array(np.where(table.column("codes").is_valid().to_numpy(), -1, 0)), "code": pa.nulls(n, pa.int32()), "hot": table.column("hot")})
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, num: int, den: int, files: int) -> DataFrame:
-    """The pairs (a, b) of classes that are similar, held against each other on their whole sets."""
-    ends = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct()
+def _sets(ends: DataFrame, docs: DataFrame, classes: DataFrame, words: int, files: int) -> DataFrame:
+    """(h, u): the whole shingle sets of the classes in ends (h, distinct), cut from the text of one row each."""
     need = classes.join(ends, "h").select("h", F.col("rep.doc_id").alias("id"), F.col("rep.k").alias("key"))
     need = maybe_broadcast(materialise(need, "needed", few_files(classes.count())))
     texts = docs.select("doc_id", text_of().alias("x")).withColumn("k", F.xxhash64("x"))
@@ -277,7 +279,63 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, n
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array([shingles(x.as_py(), words).tobytes() for x in batch.column(1)], pa.binary())], names=["h", "u"])
 
-    sets = materialise(texts.mapInArrow(trimming(cut), "h long, u binary").dropDuplicates(["h"]), "sets", files)
+    return materialise(texts.mapInArrow(trimming(cut), "h long, u binary").dropDuplicates(["h"]), "sets", files)
+
+
+def common_tokens(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The number of tokens that sets x[i] and y[i] share, of distinct tokens each."""
+    who, at = np.unique(np.r_[x, y], return_inverse=True)
+    a, b = at[: len(x)], at[len(x) :]
+    pairwise = lambda: np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(x, y, strict=True)], np.int64)
+    if len(x) <= 4 * len(who):
+        return pairwise()
+    sizes = np.array([len(sets[i]) for i in who])
+    _, column, held = np.unique(np.concatenate([sets[i] for i in who]), return_inverse=True, return_counts=True)
+    width = int((held > 1).sum())
+    if 1000 * len(x) * (500 + sizes.mean()) < len(who) ** 2 * width:  # by the time that each way takes
+        return pairwise()
+    # Of many pairs all at once: products of parts of the table of sets by the tokens that two of them have
+    row, shared = np.repeat(np.arange(len(who)), sizes), held[column] > 1
+    row, column = row[shared], (np.cumsum(held > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(who), len(who)), np.float64)
+    for lo in range(0, width, 4096):
+        part = slice(*np.searchsorted(column, [lo, lo + 4096]))
+        has = np.zeros((len(who), 4096), np.float32)
+        has[row[part], column[part] - lo] = 1
+        both += has @ has.T
+    return both[a, b].astype(np.int64)
+
+
+def leads(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """Of each of n nodes the least that the edges (x, y) reach from it."""
+    lead = np.arange(n)
+    while True:
+        now = lead.copy()
+        np.minimum.at(now, x, lead[y])
+        np.minimum.at(now, y, lead[x])
+        now = now[now]
+        if (now == lead).all():
+            return lead
+        lead = now
+
+
+def _star(a: list[np.ndarray], b: list[np.ndarray]) -> pd.DataFrame:
+    """Of the graph of the edges (a, b) an edge (a: lead, b) for each node but the least of its component."""
+    if not a:
+        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+    a, b = np.concatenate(a), np.concatenate(b)
+    ids, at = np.unique(np.r_[a, b], return_inverse=True)
+    lead = leads(at[: len(a)], at[len(a) :], len(ids))
+    rest = lead != np.arange(len(ids))
+    return pd.DataFrame({"a": ids[lead[rest]], "b": ids[rest]})
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, num: int, den: int, files: int) -> DataFrame:
+    """The pairs (a, b) of classes that are similar, held against each other on their whole sets."""
+    ends = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct()
+    sets = _sets(ends, docs, classes, words, files)
 
     def hold(batches):
         for batch in batches:
@@ -334,57 +392,117 @@ def linked_classes(docs: DataFrame, words: int = WORDS, num: int = 75, den: int
     star = star.groupBy("h").agg(F.max(F.struct("shared", "a")).alias("m")).select("m.a", F.col("h").alias("b"))
     star = materialise(_near(star, classes, num, den), "star", few)
     edges = _verify(star, docs, classes, words, num, den, files)
-    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    # First the nearest pair of any two components that a block joins, then, of those still apart, every pair
-    for nearest in (True, False):
-        pairs = _across(kept, connected_components(edges), classes, num, den, nearest, files)
-        if pairs is None:
-            break
-        pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "rest", files)
-        tried = materialise(tried.unionByName(pairs), "tried", files)
-        edges = materialise(edges.unionByName(_verify(pairs, docs, classes, words, num, den, files)), "edges", few)
+    roots = materialise(connected_components(edges), "roots", few)
+    maybe = _candidates(kept, roots, classes, num, den, files)
+    if maybe is not None:
+        found_too = _links(maybe, kept, roots, docs, classes, words, num, den, files)
+        edges = materialise(edges.unionByName(found_too), "edges", few)
     return rows, classes, edges
 
 
-def _across(kept: DataFrame, roots: DataFrame, classes: DataFrame, num: int, den: int, nearest: bool, files: int) -> DataFrame | None:
-    """Pairs (a < b) in one block and of different components whose sketches are near enough; None if no block has two.
+def _tiled(member: DataFrame, tiles: DataFrame, classes: DataFrame, cells: int) -> DataFrame:
+    """member (u, h, root, ...) once for each pair i <= j of its unit's tiles (u, tiles) that its own is one of, dealt to cells.
 
-    Blocks with the same members say the same, so one of each such set is enough.
+    The same pair of as many tiles goes to as few cells as their number allows: units that share members meet there.
     """
-    member = kept.join(roots, kept["h"] == roots["id"], "left").select("b", "h", F.coalesce("root", "h").alias("root"))
+    placed = member.join(tiles, "u").join(classes.select("h", "n", "sketch"), "h")
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("h"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    placed = placed.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    deal = F.pmod(F.xxhash64("u"), F.greatest(F.lit(1), F.floor(cells * 2 / (F.col("tiles") * (F.col("tiles") + 1)))).cast("long"))
+    return placed.withColumn("cell", F.pmod(F.xxhash64("i", "j", "tiles", deal), F.lit(cells))).drop("tiles", "other")
+
+
+def _near_in_tiles(pdf: pd.DataFrame, num: int, den: int):
+    """Of each pair of tiles: the rows it has, and the pairs of near_pairs among them."""
+    u, i, j, n, root, h, side = (pdf[c].to_numpy() for c in ("u", "i", "j", "n", "root", "h", "own"))
+    sketches = pdf["sketch"].to_numpy()
+    order = np.lexsort((h, j, i, u))
+    key = np.stack([u, i, j])[:, order]
+    starts = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)])
+    for lo, hi in zip(starts, [*starts[1:], len(order)], strict=True):
+        if hi - lo > 1:
+            at = order[lo:hi]
+            x, y, _ = near_pairs(sketches[at], n[at], root[at], side[at] if i[at[0]] != j[at[0]] else None, num, den)
+            if len(x):
+                yield at, x, y
+
+
+def _candidates(kept: DataFrame, roots: DataFrame, classes: DataFrame, num: int, den: int, files: int) -> DataFrame | None:
+    """(h, family) of the classes that in some block stand beside one of another component whose sketch is near enough; None if no block has two.
+
+    Such classes of one block are of one family, so the pairs themselves need not be told. Blocks with the same members
+    say the same, so one of each such set is enough.
+    """
+    member = kept.join(roots, kept["h"] == roots["id"], "left").select(F.col("b").alias("u"), "h", F.coalesce("root", "h").alias("root"))
     spread = F.bit_xor(F.xxhash64("h")).alias("x1"), F.bit_xor(F.xxhash64("h", F.lit(1))).alias("x2")
-    blocks = member.groupBy("b").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size"), *spread).where("r0 <> r1")
-    blocks = blocks.groupBy("x1", "x2", "size").agg(F.min("b").alias("b"))
-    open_ = materialise(blocks.select("b", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"), "size"), "open", files)
+    blocks = member.groupBy("u").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size"), *spread).where("r0 <> r1")
+    blocks = blocks.groupBy("x1", "x2", "size").agg(F.min("u").alias("u"))
+    open_ = materialise(blocks.select("u", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"), "size"), "open", files)
     work = open_.agg(F.sum(F.col("size") * F.col("tiles"))).first()[0]
     if not work:
         return None
-    cells = max(1, math.ceil(work / GROUP_ROWS))
-    placed = member.join(maybe_broadcast(open_.select("b", "tiles")), "b").join(classes.select("h", "n", "sketch"), "h")
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("h"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    placed = placed.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).withColumn("cell", F.pmod(F.xxhash64("b", "i", "j"), F.lit(cells)))
+    placed = _tiled(member, maybe_broadcast(open_.select("u", "tiles")), classes, max(1, math.ceil(work / GROUP_ROWS)))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        b, i, j, n, root, h, side = (pdf[c].to_numpy() for c in ("b", "i", "j", "n", "root", "h", "own"))
-        sketches = pdf["sketch"].to_numpy()
-        order = np.lexsort((h, j, i, b))
-        key = np.stack([b, i, j])[:, order]
-        starts = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)])
-        out = set()
-        for lo, hi in zip(starts, [*starts[1:], len(order)], strict=True):
-            if hi - lo > 1:
-                at = order[lo:hi]
-                across = side[at] if i[at[0]] != j[at[0]] else None
-                x, y, d = near_pairs(sketches[at], n[at], root[at], across, num, den)
-                if nearest and len(x) > 1:
-                    ra, rb = np.minimum(root[at][x], root[at][y]), np.maximum(root[at][x], root[at][y])
-                    by = np.lexsort((y, x, d, rb, ra))
-                    first = by[np.r_[True, (ra[by][1:] != ra[by][:-1]) | (rb[by][1:] != rb[by][:-1])]]
-                    x, y = x[first], y[first]
-                out.update(zip(h[at][x].tolist(), h[at][y].tolist(), strict=True))
-        return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
-
-    return placed.select("b", "h", "root", "n", "sketch", "own", "i", "j", "cell").groupBy("cell").applyInPandas(compare, "a long, b long").distinct()
+        h = pdf["h"].to_numpy()
+        a, b = [], []
+        for at, x, y in _near_in_tiles(pdf, num, den):
+            lead = leads(x, y, len(at))
+            rest = np.flatnonzero(lead != np.arange(len(at)))
+            a.append(h[at[lead[rest]]])
+            b.append(h[at[rest]])
+        return _star(a, b)
+
+    near = materialise(placed.groupBy("cell").applyInPandas(compare, "a long, b long").distinct(), "near", files)
+    return connected_components(near).select(F.col("id").alias("h"), F.col("root").alias("family"))
+
+
+def _links(maybe: DataFrame, kept: DataFrame, roots: DataFrame, docs: DataFrame, classes: DataFrame, words: int, num: int, den: int, files: int) -> DataFrame:
+    """Edges (a, b) between roots that tie together the components with similar classes in them.
+
+    All pairs of a family that are of different components and near by their sketches are held against each other on
+    their whole sets, in tiles; the pairs stay in the task, what leaves it is less than an edge a root. A family whose
+    blocks, each in tiles of its own, have fewer rows than its own tiles is taken by blocks.
+    """
+    few = few_files(classes.count())
+    maybe = materialise(maybe.join(roots, maybe["h"] == roots["id"], "left").select("h", "family", F.coalesce("root", "h").alias("root")), "maybe", few)
+    if maybe.isEmpty():
+        return maybe.select(F.col("h").alias("a"), F.col("h").alias("b"))
+    sets = _sets(maybe.select("h"), docs, classes, words, files)
+    sized = materialise(maybe.join(sets.select("h", F.octet_length("u").alias("bytes")), "h"), "sized", few)
+    tiles = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("bytes") / TILE_BYTES)).cast("int").alias("tiles")
+    measures = tiles, F.count("*").alias("size"), F.sum("bytes").alias("bytes")
+    unit = sized.select(F.col("family").alias("u"), "h", "root", "bytes")
+    large = materialise(sized.groupBy("family").agg(*measures).where("tiles > 1"), "large", few)
+    # Blocks can only be the cheaper way where their members, each in one tile, have fewer rows than the family's tiles
+    posted = sized.join(maybe_broadcast(large.select("family")), "family").join(kept.groupBy("h").agg(F.count("*").alias("posted")), "h")
+    posted = posted.groupBy("family").agg(F.sum("posted").alias("posted"))
+    large = materialise(large.join(posted, "family").where("posted < size * tiles").select("family", "size", "tiles"), "large", few)
+    if not large.isEmpty():
+        in_blocks = materialise(sized.join(maybe_broadcast(large.select("family")), "family").join(kept, "h"), "in_blocks", files)
+        cost = in_blocks.groupBy("family", "b").agg(*measures).groupBy("family").agg(F.sum(F.col("size") * F.col("tiles")).alias("cost"))
+        apart = materialise(large.join(cost, "family").where("cost < size * tiles").select("family"), "apart", few)
+        blocks = in_blocks.join(maybe_broadcast(apart), "family").select(F.xxhash64("family", "b").alias("u"), "h", "root", "bytes")
+        unit = sized.join(maybe_broadcast(apart), "family", "left_anti").select(F.col("family").alias("u"), "h", "root", "bytes").unionByName(blocks)
+    units = materialise(unit.groupBy("u").agg(*measures, F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1"), "units", few)
+    rows, size = units.agg(F.sum(F.col("size") * F.col("tiles")), F.sum(F.col("bytes") * F.col("tiles"))).first()
+    cells = max(1, math.ceil(rows / GROUP_ROWS), math.ceil(size / CELL_BYTES))
+    member = unit.select("u", "h", "root").join(sets.withColumnRenamed("u", "set"), "h")
+    placed = _tiled(member, maybe_broadcast(units.select("u", "tiles")), classes, cells)
+
+    def hold(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, root = pdf["n"].to_numpy(), pdf["root"].to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in pdf["set"]]
+        a, b = [], []
+        for at, x, y in _near_in_tiles(pdf, num, den):
+            x, y = at[x], at[y]
+            both = common_tokens(sets, x, y)
+            ok = den * both >= num * (n[x] + n[y] - both)
+            a.append(root[x[ok]])
+            b.append(root[y[ok]])
+        return _star(a, b)
+
+    return materialise(placed.groupBy("cell").applyInPandas(hold, "a long, b long").distinct(), "links", few)
 
 
 def _near(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:

@@ -298,6 +298,55 @@ def test_jaccard_join(spark, docs, empty, monkeypatch):
     assert jaccard_join.components(empty).count() == 0
 
 
+def joined(spark, monkeypatch, rows):
+    """Components by id, and the most rows of each scratch table that the join made."""
+    made, keep = {}, jaccard_join.materialise
+
+    def counted(df, name, *args, **kw):
+        out = keep(df, name, *args, **kw)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialise", counted)
+    got = jaccard_join.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got}, made
+
+
+@pytest.mark.parametrize("tile", [512, 2])
+def test_pairs_of_a_family_do_not_become_rows(spark, monkeypatch, tile):
+    draw = random.Random(7)
+    base, rows = [f"word{draw.randrange(10**9)}" for _ in range(60)], []
+    for i in range(100):  # of near copies of one text, half are near by sketch but hardly similar
+        ws = base[:]
+        for at in draw.sample(range(60), 1 if i % 2 else 2):
+            ws[at] = f"changed{draw.randrange(10**9)}"
+        rows.append((i, " ".join(ws)))
+    monkeypatch.setattr(jaccard_join, "TILE", tile)
+    got, made = joined(spark, monkeypatch, rows)
+    assert got == brute_components(rows)
+    assert max(n for name, n in made.items() if name not in ("blocks", "kept", "in_blocks")) <= 2 * len(rows)
+
+
+def test_families_of_many_tiles_are_taken_by_blocks(spark, monkeypatch):
+    draw = random.Random(8)
+    texts = [[f"word{draw.randrange(10**9)}" for _ in range(26)] for _ in range(40)]
+    rows = list(enumerate(" ".join([*ws, *tail]) for ws in texts for tail in ([], ["a", "tail"], ["other", "longer", "end", "of", "it", draw.choice("xy")])))
+    monkeypatch.setattr(jaccard_join, "TILE", 2)
+    monkeypatch.setattr(jaccard_join, "_candidates", lambda kept, *_: kept.select("h").distinct().withColumn("family", F.lit(1).cast("long")))
+    got, made = joined(spark, monkeypatch, rows)
+    assert got == brute_components(rows)
+    assert made["apart"] == 1 and made["units"] > 1
+
+
+def test_common_tokens_of_few_and_many_pairs():
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, most, 60).astype(np.uint64)) for most in [90] * 30 + [10**6] * 10]
+    x, y = np.triu_indices(len(sets), 1)
+    want = [len(np.intersect1d(sets[i], sets[j])) for i, j in zip(x, y, strict=True)]
+    assert jaccard_join.common_tokens(sets, x, y).tolist() == want
+    assert jaccard_join.common_tokens(sets, x[:9], y[:9]).tolist() == want[:9]
+
+
 def test_null_ids_do_not_hide_the_least_id(spark):
     a, b, c = prose(60), prose(60), prose(60)
     rows = [(None, a), (8, a), (7, a), (None, b), (3, b), (5, b + " tail"), (None, c), (None, c), (9, c + " tail")]
