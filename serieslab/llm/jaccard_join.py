@@ -351,7 +351,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, n
 
 
 def linked_classes(docs: DataFrame, words: int = WORDS, num: int = 75, den: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows: doc_id, n, h), (classes: h, rep, least, copies, n, sketch) and (edges a, b of similar classes that span them)."""
+    """(rows: doc_id, n, h), (classes: h, rep, least, copies, n, sketch) and (edges a, b of classes that tie each component together, not each of them similar)."""
     source = docs.select("doc_id", text_of().alias("x")).withColumn("k", F.xxhash64("x"))
     size = source.agg(F.sum(F.octet_length("x"))).first()[0] or 0
     groups = max(1, math.ceil(size / TEXT_PER_GROUP))

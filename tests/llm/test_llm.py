@@ -327,6 +327,20 @@ def test_pairs_of_a_family_do_not_become_rows(spark, monkeypatch, tile):
     assert max(n for name, n in made.items() if name not in ("blocks", "kept", "in_blocks")) <= 2 * len(rows)
 
 
+def test_a_family_of_similar_texts_has_less_edges_than_texts(spark):
+    draw = random.Random(9)
+    base, rows = [f"word{draw.randrange(10**9)}" for _ in range(150)], []
+    for i in range(160):  # half are similar to each other; the others are to none, but stand first in many blocks
+        ws = base[:]
+        for at in draw.sample(range(150), 2 if i % 2 else 4):
+            ws[at] = f"changed{draw.randrange(10**9)}"
+        rows.append((i, " ".join(ws)))
+    _, classes, edges = jaccard_join.linked_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))
+    ends = connected_components(edges).collect()
+    assert len(ends) >= 80 and len({r["root"] for r in ends}) == 1
+    assert edges.count() < classes.count()
+
+
 def test_families_of_many_tiles_are_taken_by_blocks(spark, monkeypatch):
     draw = random.Random(8)
     texts = [[f"word{draw.randrange(10**9)}" for _ in range(26)] for _ in range(40)]
