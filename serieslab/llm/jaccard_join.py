@@ -42,7 +42,9 @@ from serieslab.llm.common import connected_components, few_files, files_for, mat
 WORDS = 5
 TEXT_PER_GROUP = 4 << 20  # bytes of text whose blocks one grouping task gets, about
 FILE_TEXT = 32 << 20  # bytes of text a file and a task of what is made of it, about
-HOT = 64  # documents of one batch that share a block's value, from which on it travels as rows of its own
+HOT = 64  # documents of one slice that share a block's value, from which on it stays with the slice, packed, and only its number goes to its group
+HOT_ROW = np.dtype([("b", "<i8"), ("h", "<i8"), ("code", "<i4"), ("need", "<i4")])
+HOT_ROWS = 50_000  # of them in a row of the table
 TILE = 512
 GROUP_ROWS = 20_000
 TILE_BYTES = 8 << 20  # bytes of whole sets in a tile, about
@@ -168,7 +170,7 @@ def postings(u: np.ndarray, num: int, den: int, seed: int = 0) -> tuple[list[tup
     return out, enough
 
 
-MAPPED = "p int, doc_id {0}, n long, h long, k long, sketch binary, values binary, classes binary, counts binary, codes binary, marks binary, marked binary, hot array<struct<b:long,h:long,code:int>>"
+MAPPED = "p int, doc_id {0}, n long, h long, k long, sketch binary, values binary, classes binary, counts binary, codes binary, marks binary, marked binary, hot binary"
 
 
 def _slices(batches):
@@ -180,11 +182,10 @@ def _slices(batches):
 
 
 def _post(batches, groups: int, words: int, num: int, den: int, doc_type: pa.DataType, seed: int = 0):
-    """Per batch: a row for each document (with codes if its blocks do not suffice), a row of block values for each group of values, and rows of hot values."""
+    """Per batch: a row for each document (with codes if its blocks do not suffice), a row of block values for each group of values, and the slice's hot values, packed; h is the slice in both."""
     seen: set[int] = set()
-    hot_type = pa.list_(pa.struct([("b", pa.int64()), ("h", pa.int64()), ("code", pa.int32())]))
     names = [x.split()[0] for x in MAPPED.split(", ")]
-    types = [pa.int32(), doc_type, pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 7, hot_type]
+    types = [pa.int32(), doc_type, pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 8]
     for number, batch in enumerate(_slices(batches)):
         rows: list[tuple] = []
         values, owners, codes = [], [], []
@@ -215,7 +216,10 @@ def _post(batches, groups: int, words: int, num: int, den: int, doc_type: pa.Dat
             keep = np.ones(len(s), bool)
             keep[order] = ~np.repeat(hot, runs)
             hot_at = np.flatnonzero(~keep)
-            hot_rows = {"b": flat[hot_at].view(np.int64), "h": owners[at[hot_at]], "code": codes[at[hot_at]]}
+            hot_rows = np.empty(len(hot_at), HOT_ROW)
+            hot_rows["b"], hot_rows["h"], hot_rows["code"] = flat[hot_at].view(np.int64), owners[at[hot_at]], codes[at[hot_at]]
+            hot_rows["need"] = (sizes - codes // 2)[at[hot_at]]
+            slice_id = xxhash.xxh3_64_intdigest(hot_rows.tobytes()) - (1 << 63)
             flat, at = flat[keep], at[keep]
             part = ((flat >> np.uint64(33)) % np.uint64(groups)).astype(np.int32)
             order = np.argsort(part, kind="stable")
@@ -229,15 +233,14 @@ def _post(batches, groups: int, words: int, num: int, den: int, doc_type: pa.Dat
             for p, a, b, c, d in zip(present.tolist(), from_.tolist(), to.tolist(), mark_from.tolist(), mark_to.tolist(), strict=True):
                 who = at[a:b]
                 first = np.flatnonzero(np.r_[True, who[1:] != who[:-1]]) if b > a else np.zeros(0, np.int64)
-                rows.append((p, None, None, None, None, None, flat[a:b].tobytes(), owners[who[first]].tobytes(), np.diff(np.r_[first, b - a]).astype(np.int32).tobytes(), codes[who[first]].tobytes(), mark[c:d].tobytes(), marked[c:d].tobytes(), None))
-            for i in range(0, len(hot_at), 5000):
-                part_of = pd.DataFrame({c: x[i : i + 5000] for c, x in hot_rows.items()})
-                rows.append((-1 - (i // 5000) % groups, *[None] * 11, part_of.to_dict("records")))
+                rows.append((p, None, None, slice_id, None, None, flat[a:b].tobytes(), owners[who[first]].tobytes(), np.diff(np.r_[first, b - a]).astype(np.int32).tobytes(), codes[who[first]].tobytes(), mark[c:d].tobytes(), marked[c:d].tobytes(), None))
+            for i in range(0, len(hot_at), HOT_ROWS):
+                rows.append((-1 - (i // HOT_ROWS + number) % groups, None, None, slice_id, *[None] * 8, hot_rows[i : i + HOT_ROWS].tobytes()))
         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types], names=names)
 
 
 def _size_blocks(table: pa.Table) -> pa.Table:
-    """Of one group: documents and hot rows as they are; block values that more than one class holds, with their number."""
+    """Of one group: documents and hot rows as they are; block values that more than one class holds, with their number; that of each slice's hot values for the slice."""
     if table.num_rows and table.column("p")[0].as_py() >= 0:
         join = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
         counts = join("counts", np.int32)
@@ -247,6 +250,7 @@ def _size_blocks(table: pa.Table) -> pa.Table:
         new = np.r_[True, (b[1:] != b[:-1]) | (h[1:] != h[:-1])] if len(b) else np.zeros(0, bool)
         b, h, code = b[new], h[new], code[new]
         marks, marked = join("marks", np.int64), join("marked", np.int64)
+        of_slice = np.repeat(table.column("h").to_numpy(), [len(x) // 8 for x in table.column("marks").to_pylist()])
         which, where = np.unique(marks, return_inverse=True)
         extra = np.bincount(where, marked, len(which)).astype(np.int64) if len(which) else np.zeros(0, np.int64)
         starts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, np.int64)
@@ -262,12 +266,47 @@ def _size_blocks(table: pa.Table) -> pa.Table:
             total = extra
         size = np.repeat(sizes, np.diff(np.r_[starts, len(b)]))
         keep = size > 1
-        n, m = int(keep.sum()), len(which)
-        return pa.table({"kind": pa.array(np.r_[np.full(n, 1), np.full(m, 2)], pa.int32()), "doc_id": pa.nulls(n + m, table.schema.field("doc_id").type), "n": pa.nulls(n + m, pa.int64()), "h": pa.array(np.r_[h[keep], np.zeros(m, np.int64)]), "k": pa.nulls(n + m, pa.int64()), "sketch": pa.nulls(n + m, pa.binary()), "b": pa.array(np.r_[b[keep], which]), "size": pa.array(np.r_[size[keep], total].astype(np.int64)), "code": pa.array(np.r_[code[keep], np.zeros(m, np.int32)].astype(np.int32)), "hot": pa.nulls(n + m, table.schema.field("hot").type)})
+        n, m = int(keep.sum()), len(marks)
+        return pa.table({"kind": pa.array(np.r_[np.full(n, 1), np.full(m, 2)], pa.int32()), "doc_id": pa.nulls(n + m, table.schema.field("doc_id").type), "n": pa.nulls(n + m, pa.int64()), "h": pa.array(np.r_[h[keep], of_slice]), "k": pa.nulls(n + m, pa.int64()), "sketch": pa.nulls(n + m, pa.binary()), "b": pa.array(np.r_[b[keep], marks]), "size": pa.array(np.r_[size[keep], total[where]].astype(np.int64)), "code": pa.array(np.r_[code[keep], np.zeros(m, np.int32)].astype(np.int32)), "hot": pa.nulls(n + m, table.schema.field("hot").type)})
     n = table.num_rows
     return pa.table({"kind": pa.array(np.zeros(n, np.int32)), **{c: table.column(c) for c in ("doc_id", "n", "h", "k", "sketch")}, "b": pa.nulls(n, pa.int64()), "size": pa.array(np.where(table.column("codes").is_valid().to_numpy(), -1, 0)), "code": pa.nulls(n, pa.int32()), "hot": table.column("hot")})
 
 
+def rarest(rows: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of HOT_ROWs and their values' sizes: positions of the `need` rarest of each class and band, a position of each class and band that has more, and how many more."""
+    order = np.lexsort((rows["b"], size, rows["code"], rows["h"]))
+    h, code = rows["h"][order], rows["code"][order]
+    starts = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (code[1:] != code[:-1])])
+    runs = np.diff(np.r_[starts, len(rows)])
+    nth = np.arange(len(rows)) - np.repeat(starts, runs)
+    left = runs - rows["need"][order[starts]]
+    return order[nth < rows["need"][order]], order[starts[left > 0]], left[left > 0]
+
+
+def _hot_blocks(found: DataFrame) -> DataFrame:
+    """(b, h, size, code, weight) of the hot values that may be among the rarest d + 1 of their class and band.
+
+    Others never become rows: a class and band has one row more, without b, whose weight is their number or, where a
+    class was posted by several tasks, more. They are all commoner than what is to be kept.
+    """
+    sizes = found.where("kind = 2").groupBy("h").agg(F.collect_list(F.struct("b", "size")).alias("sizes"))
+    packed = found.where("hot is not null").select("h", "hot").join(sizes, "h").select("hot", "sizes")
+
+    def choose(batches):
+        for batch in batches:
+            for hot, sizes in zip(batch.column(0), batch.column(1), strict=True):
+                rows, b, size = np.frombuffer(hot.as_py(), HOT_ROW), sizes.values.field("b").to_numpy(), sizes.values.field("size").to_numpy()
+                order = np.argsort(b)
+                size = size[order][np.searchsorted(b[order], rows["b"])]
+                at, more, left = rarest(rows, size)
+                none = [None] * len(more)
+                yield pa.record_batch([pa.array([*rows["b"][at].tolist(), *none], pa.int64()), pa.array(np.r_[rows["h"][at], rows["h"][more]]), pa.array([*size[at].tolist(), *none], pa.int64()), pa.array(np.r_[rows["code"][at], rows["code"][more]]), pa.array(np.r_[np.ones(len(at), np.int64), left.astype(np.int64)])], names=["b", "h", "size", "code", "weight"])
+
+    chosen = packed.mapInArrow(trimming(choose), "b long, h long, size long, code int, weight long")
+    weight = F.when(F.col("b").isNull(), F.sum("weight")).otherwise(1).alias("weight")
+    return chosen.groupBy("b", "h", "code").agg(F.max("size").alias("size"), weight).select("b", "h", "size", "code", "weight")
+
+
 def _sets(ends: DataFrame, docs: DataFrame, classes: DataFrame, words: int, files: int) -> DataFrame:
     """(h, u): the whole shingle sets of the classes in ends (h, distinct), cut from the text of one row each."""
     need = classes.join(ends, "h").select("h", F.col("rep.doc_id").alias("id"), F.col("rep.k").alias("key"))
@@ -365,7 +404,7 @@ def linked_classes(docs: DataFrame, words: int = WORDS, num: int = 75, den: int
         trim()
         return out
 
-    sized = f"kind int, doc_id {kind}, n long, h long, k long, sketch binary, b long, size long, code int, hot array<struct<b:long,h:long,code:int>>"
+    sized = f"kind int, doc_id {kind}, n long, h long, k long, sketch binary, b long, size long, code int, hot binary"
     for seed in range(SEEDS):
         mapped = source.mapInArrow(trimming(lambda batches, seed=seed: _post(batches, groups, words, num, den, doc_type, seed)), MAPPED.format(kind))
         found = materialise(mapped.groupBy("p").applyInArrow(size_blocks, sized), "blocks", files)
@@ -379,12 +418,10 @@ def linked_classes(docs: DataFrame, words: int = WORDS, num: int = 75, den: int
     classes = materialise(classes, "classes", files)
     few = few_files(classes.count())  # for what has a pair or a number a class at most
 
-    common = maybe_broadcast(materialise(found.where("kind = 2").select("b", "size"), "common", files))
-    hot = found.where("hot is not null").select(F.inline("hot")).dropDuplicates(["b", "h"]).join(common, "b")
-    blocks = found.where("kind = 1").select("b", "h", "size", "code").unionByName(hot.select("b", "h", "size", "code"))
-    # The d + 1 rarest blocks of each class and band: all but the `code // 2` commonest
-    order = Window.partitionBy("h", F.col("code") % 2).orderBy(F.desc("size"), F.desc("b"))
-    kept = blocks.withColumn("nth", F.row_number().over(order)).where(F.col("nth") > F.floor(F.col("code") / 2)).select("b", "h").distinct()
+    blocks = found.where("kind = 1").select("b", "h", "size", "code", F.lit(1).cast("long").alias("weight")).unionByName(_hot_blocks(found))
+    # The d + 1 rarest blocks of each class and band: all but the `code // 2` commonest, first of all those that are no rows
+    order = Window.partitionBy("h", F.col("code") % 2).orderBy(F.desc_nulls_first("size"), F.desc("b")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kept = blocks.withColumn("nth", F.sum("weight").over(order)).where(F.col("b").isNotNull() & (F.col("nth") > F.floor(F.col("code") / 2))).select("b", "h").distinct()
     kept = materialise(kept, "kept", files)
 
     pivots = kept.groupBy("b").agg(F.min("h").alias("a"), F.count("*").alias("size")).where("size > 1").select("b", "a")
